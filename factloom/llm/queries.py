@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import splitting, survivors
-from factloom.session import table
+from factloom.llm import encoding, mixing, packing, splitting, survivors
+from factloom.llm.tokens import with_sizes
+from factloom.session import reliable_checkpoint, table
 
 
 def _limit(spark: SparkSession, sf_dir: str, item: str) -> tuple[int, int]:
@@ -41,9 +42,68 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_survivors(spark, sf_dir).where("n >= 2 and dominant_id is not null").select(F.col("dominant_id").alias("extraction_id"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or of each piece of one that exceeds the capacity."""
+    capacity = table(spark, sf_dir, "containers").where("container = 'long_context'").first()["capacity_tokens"]
+    return packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", capacity)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents the operator had to cut because they alone exceed the capacity."""
+    return p7_containers(spark, sf_dir).where("n_pieces > 1 and piece_no = 0").select("doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    capacity = table(spark, sf_dir, "containers").where("container = 'long_context'").first()["capacity_tokens"]
+    each = p7_containers(spark, sf_dir).groupBy("container_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+    return each.agg(F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.max("tokens").alias("fullest"), (F.sum("tokens") / (F.count(F.lit(1)) * capacity)).alias("filled"))
+
+
+def _mix_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sized = reliable_checkpoint(with_sizes(documents, "text"))
+    return sized, mixing.plan(sized, table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents with repeats, in shuffled order."""
+    return mixing.mix(*_mix_parts(spark, sf_dir), "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    sized, planned = _mix_parts(spark, sf_dir)
+    return mixing.shares(mixing.mix(sized, planned, "doc_id"), planned)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that can't reach their target share."""
+    return p8_shares(spark, sf_dir).where("not reachable").select("source")
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Affected documents with their text restored as far as it can be had."""
+    documents = table(spark, sf_dir, "documents")
+    return encoding.restore_texts(documents, "doc_id", "text", encoding.train(documents))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents decoded with a wrong character encoding, whole or in part."""
+    return p9_restored(spark, sf_dir).select("doc_id")
+
+
 QUERIES = {
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p6_survivors": p6_survivors,
+    "p7_found": p7_found,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
