@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import encoding, mixing, packing, splitting, survivors
+from factloom.llm import encoding, mixing, packing, sentences, splitting, survivors
 from factloom.llm.tokens import with_sizes
 from factloom.session import reliable_checkpoint, table
 
@@ -15,6 +15,25 @@ def _limit(spark: SparkSession, sf_dir: str, item: str) -> tuple[int, int]:
     return row["max_chars"], row["overlap_chars"]
 
 
+def _sentence_rows(spark: SparkSession, sf_dir: str, units: bool) -> DataFrame:
+    pages, rows = table(spark, sf_dir, "report_pages").select("page_id", "text"), table(spark, sf_dir, "sentences").select("sentence_id", "text")
+    model = sentences.learn_thai(pages.select("text", F.lit(False).alias("whole")).unionAll(rows.select("text", F.lit(True).alias("whole"))))
+    tagged = lambda df, src, key: df.select(F.lit(src).alias("src"), F.col(key).alias("row_id"), "sentence_no", "start_pos", "end_pos", *["text"] * units)
+    return tagged(sentences.split_documents(pages, "page_id", "text", model, units), "report_pages", "page_id").unionAll(
+        tagged(sentences.split_documents(rows, "sentence_id", "text", model, units), "sentences", "sentence_id")
+    )
+
+
+def p4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence units of every page and row; a unit that breaks off has no end_pos."""
+    return _sentence_rows(spark, sf_dir, True)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every end of a sentence."""
+    return _sentence_rows(spark, sf_dir, False).select("src", "row_id", "end_pos")
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every page and table: src, row_id, n_pieces, piece_no, start, chars, piece."""
     pages = splitting.split_texts(table(spark, sf_dir, "report_pages"), "page_id", "text", *_limit(spark, sf_dir, "page_text"))
@@ -94,6 +113,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_units": p4_units,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
