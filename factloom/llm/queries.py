@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import encoding, mixing, packing, sentences, splitting, survivors
+from factloom.llm import encoding, mixing, packing, pages, sentences, splitting, survivors
 from factloom.llm.tokens import with_sizes
 from factloom.session import reliable_checkpoint, table
 
@@ -15,11 +15,21 @@ def _limit(spark: SparkSession, sf_dir: str, item: str) -> tuple[int, int]:
     return row["max_chars"], row["overlap_chars"]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of noise of every page and snippet."""
+    return pages.find_noise(table(spark, sf_dir, "report_pages"), table(spark, sf_dir, "extractions"))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page and snippet as continuous readable paragraphs."""
+    return pages.repair(table(spark, sf_dir, "report_pages"), table(spark, sf_dir, "extractions"))
+
+
 def _sentence_rows(spark: SparkSession, sf_dir: str, units: bool) -> DataFrame:
-    pages, rows = table(spark, sf_dir, "report_pages").select("page_id", "text"), table(spark, sf_dir, "sentences").select("sentence_id", "text")
-    model = sentences.learn_thai(pages.select("text", F.lit(False).alias("whole")).unionAll(rows.select("text", F.lit(True).alias("whole"))))
+    whole, rows = table(spark, sf_dir, "report_pages").select("page_id", "text"), table(spark, sf_dir, "sentences").select("sentence_id", "text")
+    model = sentences.learn_thai(whole.select("text", F.lit(False).alias("whole")).unionAll(rows.select("text", F.lit(True).alias("whole"))))
     tagged = lambda df, src, key: df.select(F.lit(src).alias("src"), F.col(key).alias("row_id"), "sentence_no", "start_pos", "end_pos", *["text"] * units)
-    return tagged(sentences.split_documents(pages, "page_id", "text", model, units), "report_pages", "page_id").unionAll(
+    return tagged(sentences.split_documents(whole, "page_id", "text", model, units), "report_pages", "page_id").unionAll(
         tagged(sentences.split_documents(rows, "sentence_id", "text", model, units), "sentences", "sentence_id")
     )
 
@@ -36,10 +46,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every page and table: src, row_id, n_pieces, piece_no, start, chars, piece."""
-    pages = splitting.split_texts(table(spark, sf_dir, "report_pages"), "page_id", "text", *_limit(spark, sf_dir, "page_text"))
+    texts = splitting.split_texts(table(spark, sf_dir, "report_pages"), "page_id", "text", *_limit(spark, sf_dir, "page_text"))
     tables = splitting.split_tables(table(spark, sf_dir, "report_tables"), "table_id", "rows", *_limit(spark, sf_dir, "table_rows"))
     tagged = lambda df, src, key: df.select(F.lit(src).alias("src"), F.col(key).alias("row_id"), "n_pieces", "piece_no", "start", "chars", "piece")
-    return tagged(pages, "report_pages", "page_id").unionAll(tagged(tables, "report_tables", "table_id"))
+    return tagged(texts, "report_pages", "page_id").unionAll(tagged(tables, "report_tables", "table_id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +123,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_repaired": p2_repaired,
     "p4_found": p4_found,
     "p4_units": p4_units,
     "p5_found": p5_found,
