@@ -125,7 +125,7 @@ def pack(sized: DataFrame, id_col: str, capacity: int) -> DataFrame:
     total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
     tasks = max(1, -(-total // (capacity * CONTAINERS_PER_TASK)))
     order = ["key", F.xxhash64("id"), "id"]
-    ordered = sized.withColumnRenamed(id_col, "id").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    ordered = sized.select(F.col(id_col).alias("id"), "tokens", "key").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = Packer(capacity)
