@@ -48,11 +48,15 @@ def label_cell(row: Column) -> Column:
     return F.when(F.lower(F.trim(first)).isin(*COLUMN_WORDS) & (F.size(row) > 1), text_of(F.get(row, 1))).otherwise(first)
 
 
-def row_score(query: Column, label: Column) -> Column:
-    """1.0 if the label holds the query, 0.8 if it holds all its words, else 0.6 times their share."""
-    wanted = tokens(query)
-    overlap = F.size(F.array_intersect(wanted, tokens(label)))
-    return F.when(F.contains(F.lower(label), F.lower(query)), 1.0).when(overlap == F.size(wanted), 0.8).otherwise(overlap / F.greatest(F.size(wanted), F.lit(1)) * 0.6)
+def row_score(query: Column, label: Column, wanted: Column | None = None, held: Column | None = None) -> Column:
+    """1.0 if the label holds the query, 0.8 if it holds all its words, else 0.6 times their share.
+
+    `wanted` and `held` are the words of query and label where they are at hand already.
+    """
+    wanted = tokens(query) if wanted is None else wanted
+    overlap = F.size(F.array_intersect(wanted, tokens(label) if held is None else held))
+    share = F.when(overlap == F.size(wanted), 0.8).otherwise(overlap / F.greatest(F.size(wanted), F.lit(1)) * 0.6)
+    return F.when(F.contains(F.lower(label), F.lower(query)), 1.0).otherwise(share)
 
 
 def infer_unit(headers: Column, row: Column, value_col: Column, accepted: Column) -> Column:

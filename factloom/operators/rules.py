@@ -65,10 +65,14 @@ def table_candidates(tables: DataFrame, pages: DataFrame, kpis: DataFrame, simil
     """At most one candidate per table and indicator: the best scored row that has a number, a unit, a conversion and a plausible value."""
     near = similarity.where(F.col("sim") >= threshold).join(not_under_heading(tables, pages, kpis), ["table_id", "kpi"], "left_anti")
     rows = table_rows(tables).withColumn("label", tablecells.label_cell(F.col("row")))
-    known = kpis.select("kpi", "query", "canonical_unit", "lo", "hi", "negative_tokens", family(F.col("unit_family")).alias("accepted"))
-    joined = rows.join(near, "table_id").join(F.broadcast(known), "kpi")
+    known = kpis.select("kpi", "query", text.tokens(F.col("query")).alias("wanted"), "canonical_unit", "lo", "hi", "negative_tokens", family(F.col("unit_family")).alias("accepted"))
+    labelled = rows.join(near, "table_id")
+    # Labels repeat over tables and years, so each is scored once per indicator.
+    pairs = labelled.select("label", "kpi").distinct().withColumn("held", text.tokens(F.col("label"))).join(F.broadcast(known.select("kpi", "query", "wanted")), "kpi")
+    scores = pairs.select("label", "kpi", tablecells.row_score(F.col("query"), F.col("label"), F.col("wanted"), F.col("held")).alias("row_score")).where("row_score > 0")
+    joined = labelled.join(scores, ["label", "kpi"]).join(F.broadcast(known), "kpi")
     haystack = F.lower(F.concat_ws(" ", "section", "label", F.when(F.size("row") > 1, tablecells.text_of(F.get("row", F.lit(1)))).otherwise(F.lit(""))))
-    scored = joined.where(~text.holds_any(haystack, F.col("negative_tokens"))).withColumn("row_score", tablecells.row_score(F.col("query"), F.col("label"))).where("row_score > 0")
+    scored = joined.where(~text.holds_any(haystack, F.col("negative_tokens")))
     read = scored.withColumn("unit", tablecells.infer_unit(F.col("headers"), F.col("row"), F.col("year_col"), F.col("accepted"))).where("unit.unit is not null")
     read = read.withColumn("value", to_canonical_value(first_number(F.col("cell")) * F.col("unit.multiplier"), F.col("unit.unit"), F.col("canonical_unit"))).where(F.col("value").between(F.col("lo"), F.col("hi")))
     best = read.withColumn("rn", F.row_number().over(W.partitionBy("table_id", "kpi").orderBy(F.desc("row_score"), "row_idx"))).where("rn = 1")
@@ -117,24 +121,26 @@ def year_column_value(lines: Column, at: Column, line: Column, raw: Column) -> C
         & (F.size(own) >= n(c))
         & (F.coalesce(F.get(own, F.size(own) - n(c)), F.lit(0.0)) != 0.0),
     )
-    chosen = F.get(usable, 0)
-    first = F.size(own) - n(chosen)
-    target = F.get(own, (first + F.array_position(chosen["years"], F.array_max(chosen["years"])) - 1).cast("int"))
-    return F.when(chosen.isNotNull(), raw * (target / F.get(own, first)))
+    def scaled(c: Column) -> Column:
+        first = F.size(own) - n(c)
+        target = F.get(own, (first + F.array_position(c["years"], F.array_max(c["years"])) - 1).cast("int"))
+        return raw * (target / F.get(own, first))
+
+    return F.get(F.transform(F.slice(usable, 1, 1), scaled), 0)
 
 
 def line_candidates(pages: DataFrame, ranking: DataFrame, kpis: DataFrame) -> DataFrame:
     """Gated lines of the ranked pages (report_id, kpi, page_num, rank) with a value in an accepted unit, and whether it is plausible."""
     known = kpis.select("kpi", "canonical_unit", "lo", "hi", "negative_tokens", family(F.col("unit_family")).alias("accepted"), text.keywords(F.coalesce(F.nullif("queries", F.array().cast("array<string>")), F.array("query"))).alias("words"))
     sized = ranking.withColumn("n_pages", F.count(F.lit(1)).over(W.partitionBy("report_id", "kpi")))
+    trimmed = lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
     lines = pages.where("text is not null").select(*REPORT, "page_num", F.split(text.normalize_co2(F.col("text")), "\n").alias("lines"))
+    lines = lines.withColumn("_s", F.transform("lines", lambda t, i: F.struct(i.alias("line_idx"), trimmed(t).alias("line"))))
+    lines = lines.withColumn("_s", F.transform(F.filter("_s", lambda x: F.length(x["line"]) >= 10), lambda x: F.struct(x["line_idx"], x["line"], F.lower(x["line"]).alias("low"))))
     each = lines.join(sized, ["report_id", "page_num"]).join(F.broadcast(known), "kpi")
-    low = lambda s: F.lower(s)
-    kept = F.filter(
-        F.transform("lines", lambda s, i: F.struct(i.alias("line_idx"), F.regexp_replace(s, r"(?U)^\s+|\s+$", "").alias("line"))),
-        lambda s: (F.length(s["line"]) >= 10) & ~text.holds_any(low(s["line"]), F.col("negative_tokens")) & (text.keyword_share(low(s["line"]), F.col("words")) >= registry.LEAST_KEYWORD_SHARE),
-    )
-    gated = each.withColumn("g", F.explode(kept)).withColumn("line", F.col("g.line")).withColumn("line_idx", F.col("g.line_idx"))
+    least = registry.LEAST_KEYWORD_SHARE
+    kept = F.filter("_s", lambda x: (text.keyword_share(x["low"], F.col("words")) >= least) & ~text.holds_any(x["low"], F.col("negative_tokens")))
+    gated = each.withColumn("g", F.explode(kept)).drop("_s").withColumn("line", F.col("g.line")).withColumn("line_idx", F.col("g.line_idx"))
     read = gated.withColumn("kw", text.keyword_share(F.lower("line"), F.col("words"))).withColumn("p", parse_value(F.col("line"), F.col("accepted"))).where("p.unit is not null")
     raw = F.coalesce(year_column_value(F.col("lines"), F.col("line_idx"), F.col("line"), F.col("p.value")), F.col("p.value"))
     valued = read.withColumn("value", to_canonical_value(raw, F.col("p.unit"), F.col("canonical_unit"))).where("value is not null")

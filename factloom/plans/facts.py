@@ -149,9 +149,12 @@ def year_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of table rows scored for every indicator they have words of."""
     labels = table(spark, sf_dir, "report_tables").select("table_id", F.posexplode("rows").alias("row_idx", "row")).where("size(row) > 0").select("table_id", "row_idx", tablecells.label_cell(F.col("row")).alias("label"))
-    asked = table(spark, sf_dir, "kpis").select("kpi", "query", "negative_tokens").limit(10_000)
-    scored = labels.join(F.broadcast(asked)).where(~text.holds_any(F.lower("label"), F.col("negative_tokens"))).withColumn("score", F.round(tablecells.row_score(F.col("query"), F.col("label")), 6))
-    return scored.where("score > 0").select("table_id", "row_idx", "kpi", "score")
+    asked = table(spark, sf_dir, "kpis").select("kpi", "query", "negative_tokens", text.tokens(F.col("query")).alias("wanted")).limit(10_000)
+    score = tablecells.row_score(F.col("query"), F.col("label"), F.col("wanted"), F.col("held"))
+    # Labels repeat over tables, so each is scored once per indicator.
+    pairs = labels.select("label").distinct().withColumn("held", text.tokens(F.col("label"))).join(F.broadcast(asked))
+    scored = pairs.where(~text.holds_any(F.lower("label"), F.col("negative_tokens"))).select("label", "kpi", F.round(score, 6).alias("score")).where("score > 0")
+    return labels.join(scored, "label").select("table_id", "row_idx", "kpi", "score")
 
 
 def header_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
