@@ -149,10 +149,11 @@ def _stop_ends(text: str, i: int, after: int, following: int) -> bool:
         return before.islower() and i > 1 and text[i - 2].isalpha() and nxt.isupper() and text[following + 1 : following + 2].islower() or nxt in "«“„" and not before.isspace()
     if before.isdigit():
         number = re.search(r"[\d.,]*$", text[max(0, i - 12) : i])[0]
-        line = text.rfind("\n", 0, i) + 1
+        begin = i - len(number)
         if len(number) <= 2 and (nxt.isdigit() or GERMAN_MONTH.match(text, following)):
             return False
-        return not (len(number) <= 3 and line == i - len(number) and text[:line].rstrip(" ")[-2:] in ("\n\n", "") and not at_end)
+        opening = text[max(0, begin - 8) : begin].rstrip(" ")
+        return not (len(number) <= 3 and (opening == "" or opening.endswith("\n\n")) and not at_end)
     if hit := abbreviation(text, i):
         meaning, start = hit
         if meaning == "never":
@@ -201,7 +202,7 @@ def sentence_ends(text: str | None) -> list[int]:
             if i not in closes or i != depth_until:
                 continue
             depth_until = -1
-            inner = text[:i].rstrip()[-1:]
+            inner = text[max(0, i - 8) : i].rstrip()[-1:]
             if inner not in ".!?…。！？｡।॥" or not inner:
                 continue
             opened = closes[i]
@@ -209,7 +210,7 @@ def sentence_ends(text: str | None) -> list[int]:
             following = SPACE.match(text, after).end()
             intro = text[max(0, opened - 3) : opened].rstrip()[-1:]
             if following >= size:
-                good = not (inner == "." and abbreviation(text, len(text[:i].rstrip()) - 1))
+                good = not (inner == "." and abbreviation(text, text.rfind(".", 0, i)))
             elif "\n" in text[after:following] and "\n\n" in re.sub(r"[ \t\r]", "", text[after:following]):
                 good = True
             else:

@@ -107,6 +107,9 @@ def test_thai_and_tables(spark):
 def test_long_text_is_linear():
     text = "The plant used 5 MWh. " * 20_000
     assert len(sentences.sentence_ends(text)) == 20_000
+    assert len(sentences.sentence_ends("He said (see p. 7) “no.” In 2020 it fell by 7. " * 20_000)) == 40_000
+    assert len(pages.broken_forms("x-\ny" * 20_000)) < 10
+    assert pages.label_lines("1 2 3 " * 50_000 + "x\ny", "a", False, None, None, pages.prior_model())[0][0] == "body"
 
 
 PAGE = "page_id long, report_id long, company string, page_pos int, page_num int, text string"
