@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom import registry
-from factloom.functions import numbers, tablecells, text, units, vectors
+from factloom.functions import numbers, tablecells, text, units
 from factloom.operators import comparison, evaluation, model, ranking, rules
-from factloom.session import reliable_checkpoint, table
+from factloom.operators.extractor import RuleExtractor, rank_pages
+from factloom.session import table
 from factloom.sources import reports
 
 CELL_TRIM = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}]"
@@ -182,16 +183,7 @@ def table_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(report_id, kpi, page_num, rank): the first 25 pages by words and by sentences, for each indicator."""
-    pages, kpis = _pages(spark, sf_dir), table(spark, sf_dir, "kpis")
-    phrases = kpis.select("kpi", F.posexplode("queries").alias("no", "phrase")).select(F.concat_ws("#", "kpi", "no").alias("query_id"), "kpi", vectors.slots(F.col("phrase")).alias("b")).limit(10_000)
-    s = table(spark, sf_dir, "sentences").where("text is not null and page_num is not null").select("report_id", "page_num", vectors.slots(F.col("text")).alias("a"))
-    h = rules.header_entries(table(spark, sf_dir, "report_tables"), False).where("page_num is not null").select("report_id", "page_num", vectors.slots(F.col("header_string")).alias("a"))
-    best = s.unionAll(h).join(F.broadcast(phrases)).groupBy("report_id", "page_num", "query_id").agg(F.max(vectors.slot_cosine(F.col("a"), F.col("b"))).alias("s"))
-    every = pages.select("report_id", "page_num", "page_pos").join(F.broadcast(phrases.select("query_id", "kpi")))
-    scores = every.join(best, ["report_id", "page_num", "query_id"], "left").withColumn("score", F.coalesce("s", F.lit(0.0)))
-    fused = ranking.reciprocal_rank_fusion(ranking.ranked(scores, ["report_id", "query_id"]), ["report_id", "kpi"])
-    lexical = ranking.bm25(pages, _kpi_words(spark, sf_dir)).withColumnRenamed("query_id", "kpi")
-    return ranking.hybrid(fused, lexical, ["report_id", "kpi"], top=registry.RULE_PAGES).select("report_id", "kpi", "page_num", "rank")
+    return rank_pages(_pages(spark, sf_dir), table(spark, sf_dir, "sentences"), table(spark, sf_dir, "report_tables"), table(spark, sf_dir, "kpis"))
 
 
 def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,10 +193,8 @@ def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extract_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fact per report and indicator by all rules."""
-    kpis = table(spark, sf_dir, "kpis")
-    lines = reliable_checkpoint(rules.line_candidates(_pages(spark, sf_dir), _ranking(spark, sf_dir), kpis))
-    tainted = lines.where("not plausible").select("report_id", "kpi")
-    return rules.extract(table(spark, sf_dir, "reports"), kpis, rules.table_choice(_table_candidates(spark, sf_dir)), rules.line_choice(lines), tainted)
+    t = lambda name: table(spark, sf_dir, name)
+    return RuleExtractor()(t("reports"), _pages(spark, sf_dir), t("report_tables"), t("kpis"), t("sentences"))
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:

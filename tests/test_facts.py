@@ -97,3 +97,19 @@ def test_sinks_and_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("latest_facts").first()["value"] == 1.0
+
+
+def test_pipeline(spark, tmp_path):
+    from factloom import pipeline
+
+    folder = tmp_path / "reports"
+    folder.mkdir()
+    table = "<table><tr><th>KPI</th><th>2024</th><th>Unit</th></tr><tr><td>Scope 1 direct greenhouse gas emissions</td><td>45,678</td><td>tCO2e</td></tr></table>"
+    (folder / "acme_2024.html").write_text(f"<p>Total water consumption was 1,234 m3 in the year.</p>{table}", encoding="utf-8")
+    (folder / "bad.html").write_text("x")
+    (tmp_path / "gold.csv").write_text("company,report_year,kpi,value,unit,reporting_year,source_page,notes\nacme,2024,scope_1_emissions,45678,tCO2e,2024,1,\nacme,2024,water_consumption,,,,,\n")
+    facts = {r["kpi"]: r for r in pipeline.run(spark, str(folder), str(tmp_path / "out"), "v1", str(tmp_path / "gold.csv")).collect()}
+    assert facts["scope_1_emissions"]["value"] == 45678.0 and facts["scope_1_emissions"]["run_tag"] == "v1"
+    assert facts["water_consumption"]["value"] == 1234.0 and facts["total_energy_consumption"]["value"] is None
+    metrics = {r["kpi"]: r for r in spark.read.parquet(str(tmp_path / "out/v1/metrics")).collect()}
+    assert metrics["scope_1_emissions"]["tp"] == 1 and metrics["water_consumption"]["fp"] == 1
