@@ -1,14 +1,15 @@
 """Finding and undoing wrong character encodings.
 
 A character n-gram model is trained on clean records: those without control or
-replacement characters in which no run reads as misdecoded UTF-8. Every run of characters
+replacement characters in which no run reads as misdecoded UTF-8, and which a first model
+of such records reads as they stand. Every run of characters
 between ASCII blanks that holds a non-ASCII character is then taken through every chain
 that encodes it by the code page it may have been read with and decodes it by the one it
 may have been written in, UTF-8 chains up to three times over. The likeliest reading is
 accepted if it beats the text as it stands by a margin that is validated at training:
 no clean run held out may pass it.
 
-All counts cover all records. The n-grams are hashed into tables of fixed size, so what
+All counts cover all records, copies once. The n-grams are hashed into tables of fixed size, so what
 goes to the driver and to the workers is bounded whatever the corpus.
 """
 
@@ -240,6 +241,36 @@ def _clean_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"slot": held, "n": total[held]})
 
 
+def _unread_counts(texts: DataFrame, model: CharModel) -> DataFrame:
+    """(slot, n) of the n-grams of those of `texts` (text) of which `model` reads nothing otherwise."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        restorer = Restorer(shared.value)
+
+        def unread() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                held = [t for t in batch["text"] if t and not BROKEN.search(t)]
+                restorer.learn(held)
+                yield pd.DataFrame({"text": [t for t in held if not restorer.accepted(RUN.findall(shape(t)))]}, dtype=object)
+
+        yield from _clean_counts(unread())
+
+    return texts.mapInPandas(run, "slot long, n long")
+
+
+def _summed(counts: DataFrame) -> np.ndarray:
+    rows = counts.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    slots = np.zeros(SLOTS, np.float64)
+    slots[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    return slots
+
+
+def different_texts(texts: DataFrame) -> DataFrame:
+    """Each text with a non-ASCII character once, digits being alike."""
+    return texts.where(F.col("text").rlike(r"[^\x00-\x7f]")).select(F.translate("text", "123456789", "0" * 9).alias("text")).distinct()
+
+
 def _sample_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         seen: set[str] = set()
@@ -254,14 +285,18 @@ def _sample_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(documents: DataFrame, text_col: str = "text") -> CharModel:
     """The model of all clean records of `documents`, with its margin.
 
+    It is trained twice on texts that differ: the first model leaves out misdecoded UTF-8,
+    the second also what the first reads otherwise by any chain. Copies of a text count
+    once, so a misdecoded one doesn't become likely by them.
+
     The margin is validated on the clean runs of a sample, at most 4,000 of them: no
     reading of any of them may win by as much. A corpus without any non-ASCII text gives a
     model that accepts nothing but what is broken for certain.
     """
     texts = documents.select(F.col(text_col).alias("text"))
-    rows = texts.mapInPandas(_clean_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(SLOTS, np.float64)
-    counts[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    different = different_texts(texts)
+    first = CharModel(_summed(different.mapInPandas(_clean_counts, "slot long, n long")))
+    counts = _summed(_unread_counts(different, first))
     model = CharModel(counts)
     held = texts.where(F.pmod(F.xxhash64("text"), F.lit(64)) == 0).mapInPandas(_sample_runs, "run string").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
     held = held.where("n > 1").orderBy(F.xxhash64("run")).limit(VALIDATION_RUNS).toPandas()["run"].tolist()

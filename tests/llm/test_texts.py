@@ -51,6 +51,15 @@ def test_encoding_tables(spark, model):
     assert encoding.restore_texts(frame.limit(0), "doc", "text", encoding.train(frame.limit(0))).count() == 0
 
 
+def test_encoding_copies_of_a_misread_text(spark):
+    garbled = CLEAN[3].encode("cp1251").decode("cp1252")
+    texts = spark.createDataFrame([(i, f"{t} {chr(97 + i)}") for i in range(26) for t in CLEAN] + [(i, garbled) for i in range(400)], "i int, text string")
+    restorer = encoding.Restorer(encoding.train(texts))
+    restorer.learn([garbled, *CLEAN])
+    assert restorer.restore(garbled)[0] == CLEAN[3]
+    assert all(restorer.restore(t) == (t, 0, 0) for t in CLEAN)
+
+
 # Each | marks an end of a sentence.
 MARKED = [
     "Is 20% enough?!| The council thinks so.|",
