@@ -60,6 +60,19 @@ def test_encoding_copies_of_a_misread_text(spark):
     assert all(restorer.restore(t) == (t, 0, 0) for t in CLEAN)
 
 
+def test_encoding_margin_depends_on_texts_alone(spark):
+    assert encoding.validated_margin({0: 900}) == encoding.LEAST_MARGIN
+    assert encoding.validated_margin({0: 900, 67: 1}) == 6.8
+    assert encoding.validated_margin({0: 1500, 67: 1, 90: 1}) == 6.8 and encoding.validated_margin({0: 2000, 130: 9}) == encoding.MOST_MARGIN
+    texts = spark.createDataFrame([(f"{t} {chr(97 + i % 26)}{chr(97 + i // 26)}",) for i in range(60) for t in CLEAN], "text string")
+    first = encoding.train(texts)
+    by_layout = []
+    for laid in (texts.coalesce(1), texts.unionAll(texts).repartition(7)):
+        rows = encoding._passed(encoding.different_texts(laid, held_out=True), first, first).collect()
+        by_layout.append((sum(r["n"] for r in rows), encoding.train(laid).margin))
+    assert by_layout[0] == by_layout[1] and by_layout[0][0] > 10
+
+
 # Each | marks an end of a sentence.
 MARKED = [
     "Is 20% enough?!| The council thinks so.|",
