@@ -312,8 +312,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """(word, unspaced, n) of all words, and of all windows of unspaced scripts."""
-    return texts.select("text").mapInPandas(_counted, "word string, unspaced boolean, n long").groupBy("word", "unspaced").agg(F.sum("n").alias("n"))
+    """(word, unspaced, n) of all words, and of all windows of unspaced scripts; a text counts once however many rows hold it."""
+    return texts.select("text").distinct().mapInPandas(_counted, "word string, unspaced boolean, n long").groupBy("word", "unspaced").agg(F.sum("n").alias("n"))
 
 
 def _patterns(words: DataFrame) -> DataFrame:

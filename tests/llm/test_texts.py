@@ -155,6 +155,14 @@ def test_pages(spark):
     assert "and water returned" in texts["report_pages", 62] and texts["report_pages", 10].startswith("The works council")
 
 
+def test_vocabulary_counts_copies_once(spark):
+    words = ["water", "winter", "waste", "wells"]
+    sound = [(f"{' '.join(words)} {chr(97 + i // 26)}{chr(97 + i % 26)}",) for i in range(60)]
+    wrong = [(" ".join(w.replace("w", "vv") for w in words),)]
+    found = pages.misreadings(pages.vocabulary(spark.createDataFrame(sound + wrong * 40, "text string")))
+    assert {(r["word"], r["meant"]) for r in found.collect()} >= {("vv" + w[1:], w) for w in words}
+
+
 def test_pages_empty(spark):
     assert pages.find_noise(spark.createDataFrame([], PAGE), spark.createDataFrame([], SNIPPET)).count() == 0
 
