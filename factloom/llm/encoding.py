@@ -24,9 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import reliable_checkpoint
+
 # Code pages a text may have been read with, and those it may have been written in, by script.
 READ_AS = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "iso8859-5", "cp437", "cp850", "mac_roman", "iso8859-15", "cp1254", "cp1253", "cp1257", "cp874", "gbk", "big5", "cp932", "euc_jp", "euc_kr")
 WRITTEN_IN = {
@@ -38,6 +40,7 @@ WRITTEN_IN = {
 }
 MULTIBYTE = ("gbk", "big5", "cp932", "euc_jp", "euc_kr")
 RUN = re.compile(r"(?<![^\x00-\x20])[\x21-\x7f]*[^\x00-\x7f][^\x00-\x20]*")
+JVM_RUN = r"(?<![^\x00-\x20])[\x21-\x7f]*+[^\x00-\x7f][^\x00-\x20]*+"
 BROKEN = re.compile("[\x80-\x9f�]")
 NON_ASCII = re.compile(r"[^\x00-\x7f]")
 STRAY = re.compile("[\udc80-\udcff]")
@@ -47,6 +50,7 @@ SUBRUN = re.compile("[ऀ-๿⺀-￼]+|[^ऀ-๿⺀-￼]+")
 TRIGRAMS, BIGRAMS, UNIGRAMS = 1 << 20, 1 << 18, 1 << 16
 SLOTS = TRIGRAMS + BIGRAMS + UNIGRAMS
 FOLDS, FALSE_SHARE = 16, 1_000
+WHOLE_SHARE = 0.8
 LEAST_MARGIN, MOST_MARGIN = 4.0, 13.0
 
 
@@ -73,7 +77,7 @@ def encoded(run: str, page: str) -> bytes | None:
 def possible_pages(run: str) -> list[str]:
     """The pages of READ_AS that `run` may have been read with."""
     own = set(NON_ASCII.findall(run))
-    wide = max(own, default="") >= "\u2e80"
+    wide = any(c >= "\u2e80" and not "\ue000" <= c <= "\uf8ff" for c in own)
     return [p for p in READ_AS if (wide if p in MULTIBYTE else not wide and own <= _charmap(p)[1])]
 
 
@@ -251,9 +255,9 @@ def _unread_counts(texts: DataFrame, model: CharModel) -> DataFrame:
         counts = (Counter(), Counter())
         totals = np.zeros((2, SLOTS), np.int64)
         for batch in batches:
-            restorer.learn(batch["text"].tolist())
-            for text, held in zip(batch["text"], batch["held"], strict=True):
-                if (own := _unread(text, restorer, readable)) is not None:
+            texts = batch["text"].tolist()
+            for text, held, own in zip(texts, batch["held"], restorer.learn(texts), strict=True):
+                if _unread(text, own, restorer, readable):
                     counts[held].update(own)
             for c, total in zip(counts, totals, strict=True):
                 if len(c) > 100_000:
@@ -267,17 +271,16 @@ def _unread_counts(texts: DataFrame, model: CharModel) -> DataFrame:
     return texts.mapInPandas(run, "slot long, n long")
 
 
-def _unread(text: str, restorer: Restorer, readable: dict[str, bool]) -> list[str] | None:
-    """The runs of a clean text of which `restorer`, which has learned it, reads none otherwise; else None."""
+def _unread(text: str, own: list[str], restorer: Restorer, readable: dict[str, bool]) -> bool:
+    """Whether a text with the runs `own` is clean and `restorer`, which has learned it, reads none of them otherwise."""
     if BROKEN.search(text):
-        return None
-    own = RUN.findall(shape(text))
+        return False
     if len(readable) > 400_000:
         readable.clear()
     for r in own:
         if r not in readable:
             readable[r] = not utf8_readings(r, strict=True)
-    return own if clean_record(own, readable) and not restorer.accepted(own) else None
+    return clean_record(own, readable) and not restorer.accepted(own)
 
 
 def _passed(texts: DataFrame, first: CharModel, rest: CharModel) -> DataFrame:
@@ -289,10 +292,10 @@ def _passed(texts: DataFrame, first: CharModel, rest: CharModel) -> DataFrame:
         readable: dict[str, bool] = {}
         steps: Counter[int] = Counter()
         for batch in batches:
-            for restorer in (judge, other):
-                restorer.learn(batch["text"].tolist())
-            for text in batch["text"]:
-                if (own := _unread(text, judge, readable)) is not None:
+            texts = batch["text"].tolist()
+            other.learn(texts)
+            for text, own in zip(texts, judge.learn(texts), strict=True):
+                if _unread(text, own, judge, readable):
                     steps[int(10 * min(other.beaten_by(own), MOST_MARGIN))] += 1
         yield pd.DataFrame(steps.items(), columns=["step", "n"], dtype="int64")
 
@@ -317,10 +320,19 @@ def _summed(counts: DataFrame, folds: int = 1) -> np.ndarray:
     return slots
 
 
+def _held() -> Column:
+    """Whether a different text is of the fold that is held out."""
+    return F.pmod(F.col("h"), F.lit(FOLDS)) == 0
+
+
 def different_texts(texts: DataFrame, held_out: bool = False) -> DataFrame:
-    """Each text with a non-ASCII character once, digits being alike; with `held_out` those of the fold that is held out."""
-    found = texts.where(F.col("text").rlike(r"[^\x00-\x7f]")).select(F.translate("text", "123456789", "0" * 9).alias("text"))
-    return (found.where(F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0) if held_out else found).distinct()
+    """(h, text) of each text with a non-ASCII character once, digits being alike; with `held_out` those of the fold that is held out.
+
+    h is the hash of the whole text, text what is counted of it: its runs, parted by blanks.
+    """
+    even = F.translate("text", "123456789", "0" * 9)
+    found = texts.where(F.col("text").rlike(r"[^\x00-\x7f]")).select(F.xxhash64(even).alias("h"), F.array_join(F.regexp_extract_all(even, F.lit(f"({JVM_RUN})"), F.lit(1)), " ").alias("text"))
+    return (found.where(_held()) if held_out else found).distinct()
 
 
 def train(documents: DataFrame, text_col: str = "text") -> CharModel:
@@ -335,12 +347,12 @@ def train(documents: DataFrame, text_col: str = "text") -> CharModel:
     otherwise. It depends on the texts alone, not on batches, files or copies. A corpus without any non-ASCII text gives a
     model that accepts nothing but what is broken for certain.
     """
-    texts = documents.select(F.col(text_col).alias("text"))
-    different = different_texts(texts)
-    first = CharModel(_summed(different.mapInPandas(_clean_counts, "slot long, n long")))
-    folds = different.withColumn("held", (F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0).cast("int"))
-    rest, held = _summed(_unread_counts(folds, first), 2).reshape(2, SLOTS)
-    steps = _passed(different_texts(texts, held_out=True), first, CharModel(rest)).collect()
+    different = reliable_checkpoint(different_texts(documents.select(F.col(text_col).alias("text"))))
+    first = CharModel(_summed(different.select("text").mapInPandas(_clean_counts, "slot long, n long")))
+    rest, held = _summed(_unread_counts(different.select("text", _held().cast("int").alias("held")), first), 2).reshape(2, SLOTS)
+    # A task decides on each run once, so the few texts of the fold go to as few tasks.
+    fold = different.where(_held()).select("text").coalesce(max(1, different.rdd.getNumPartitions() // FOLDS))
+    steps = _passed(fold, first, CharModel(rest)).collect()
     return CharModel(rest + held, validated_margin({r["step"]: r["n"] for r in steps}))
 
 
@@ -361,29 +373,33 @@ def best_readings(runs: list[str], model: CharModel, part: bool = False) -> dict
     return found
 
 
+def _likelier(runs: list[str], model: CharModel, part: bool = False) -> dict[str, tuple[str, float, str]]:
+    """`best_readings` that are likelier than the run as it stands."""
+    return {r: hit for r, hit in best_readings(runs, model, part).items() if hit[1] > 0}
+
+
 class Restorer:
     """Decisions by shape of run, kept while a task lasts."""
 
     def __init__(self, model: CharModel) -> None:
         self.model = model
-        self.whole: dict[str, tuple[str, float, str] | None] = {}
-        self.parts: dict[str, tuple[str, float, str] | None] = {}
-
-    def learn(self, texts: list[str | None]) -> None:
-        """Decides on all runs of `texts` at once."""
-        runs = {r for t in texts if t and not t.isascii() for r in RUN.findall(shape(t))}
-        mixed = {s for r in runs if r not in self.whole for s in SUBRUN.findall(r) if s != r and len(NON_ASCII.findall(s)) > 1}
-        for known, wanted in ((self.whole, runs), (self.parts, mixed)):
-            if len(known) > 300_000:
-                known.clear()
-            new = [r for r in wanted if r not in known]
-            known.update(dict.fromkeys(new) | {r: hit for r, hit in best_readings(new, self.model, known is self.parts).items() if hit[1] > 0})
-
-    def _hits(self, run: str) -> list[tuple[str, tuple[str, float, str]]]:
-        """The run, or else its parts, as far as there is a likelier reading."""
-        if hit := self.whole.get(run):
-            return [(run, hit)]
-        return [(s, hit) for s in SUBRUN.findall(run) if s != run and (hit := self.parts.get(s))]
+        self.known: set[str] = set()
+        self.hits: dict[str, list[tuple[str, tuple[str, float, str]]]] = {}
+
+    def learn(self, texts: list[str | None]) -> list[list[str]]:
+        """Decides on all runs of `texts` at once and gives the shapes of the runs of each."""
+        own = [RUN.findall(shape(t)) if t and not t.isascii() else [] for t in texts]
+        if len(self.known) > 300_000:
+            self.known.clear()
+            self.hits.clear()
+        new = list({r for runs in own for r in runs} - self.known)
+        self.known.update(new)
+        whole = _likelier(new, self.model)
+        parts = {r: [s for s in SUBRUN.findall(r) if s != r and len(NON_ASCII.findall(s)) > 1] for r in new if r not in whole}
+        by_part = _likelier(list({s for ss in parts.values() for s in ss}), self.model, True)
+        self.hits |= {r: [(r, hit)] for r, hit in whole.items()}
+        self.hits |= {r: found for r, ss in parts.items() if (found := [(s, by_part[s]) for s in ss if s in by_part])}
+        return own
 
     def accepted(self, runs: list[str]) -> set[str]:
         """Chains by which `runs` of one text are read beyond the margin.
@@ -392,8 +408,8 @@ class Restorer:
         runs or in one with eight such letters; UTF-8 checks itself and needs one.
         """
         by_chain: dict[str, set[str]] = defaultdict(set)
-        for r in set(runs):
-            for s, hit in self._hits(r):
+        for r in self.hits.keys() & runs:
+            for s, hit in self.hits[r]:
                 if hit[1] >= self.model.margin:
                     by_chain[hit[2]].add(s)
         return {c for c, own in by_chain.items() if c.endswith(">utf-8") or len(own) > 1 or any(len(NON_ASCII.findall(r)) >= 8 for r in own)}
@@ -401,8 +417,8 @@ class Restorer:
     def beaten_by(self, runs: list[str]) -> float:
         """The greatest margin by which a chain would still be accepted for `runs` of one text; 0 if there is none."""
         gains: dict[str, dict[str, float]] = defaultdict(dict)
-        for r in set(runs):
-            for s, (_, gain, chain) in self._hits(r):
+        for r in self.hits.keys() & runs:
+            for s, (_, gain, chain) in self.hits[r]:
                 gains[chain][s] = gain
         most = 0.0
         for chain, own in gains.items():
@@ -411,27 +427,53 @@ class Restorer:
             most = max(most, one, *best[1:2])
         return most
 
-    def restore(self, text: str | None) -> tuple[str | None, int, int]:
+    def whole_chain(self, runs: list[str], chains: set[str]) -> str | None:
+        """The one-byte chain by which most different `runs` are likeliest read, if those are four fifths of what it changes and it can read nine tenths of all.
+
+        Runs of one or two characters say too little to be counted.
+        Pages that agree in the runs accepted may differ in others, so every page is tried
+        with what `chains` say the text was written in.
+        """
+        different = set(runs)
+        best: tuple[int, int, str] | None = None
+        written = sorted({c.split(">")[1] for c in chains if not c.endswith(">utf-8")})
+        for chain in [f"{page}>{w}" for w in written for page in READ_AS if page not in MULTIBYTE]:
+            read = {r: t for r in different if (t := reread(r, chain)) is not None and not BROKEN.search(t)}
+            moved = [r for r, t in read.items() if t != r and len(r) > 2]
+            agreed = sum(any(s == r and hit[0] == read[r] for s, hit in self.hits.get(r, ())) for r in moved)
+            if 10 * len(read) >= 9 * len(different) and agreed > 1 and agreed >= WHOLE_SHARE * len(moved) and (best is None or (agreed, len(read)) > best[:2]):
+                best = agreed, len(read), chain
+        return best[2] if best else None
+
+    def restore(self, text: str | None, runs: list[str] | None = None) -> tuple[str | None, int, int]:
         """The text with all accepted readings, how many runs were changed, and how many are beyond repair.
 
-        A run whose own gain is below the margin is read by an accepted chain if that is
-        likelier than the run as it stands.
+        `runs` are the shapes of its runs, if known. A run whose own gain is below the
+        margin is read by an accepted chain if that is likelier than the run as it stands.
+        Where nearly all runs of a text are read by one one-byte chain, the whole text was
+        decoded so, and every run that the chain can read is taken through it.
         """
         if not text or text.isascii():
             return text, 0, 0
-        chains = self.accepted(RUN.findall(shape(text)))
+        runs = RUN.findall(shape(text)) if runs is None else runs
+        chains = self.accepted(runs)
+        whole = self.whole_chain(runs, chains) if chains else None
         changed = 0
 
         def replace(m: re.Match[str]) -> str:
             nonlocal changed
             run = m[0]
-            chosen = {s: hit[2] for s, hit in self._hits(shape(run)) if hit[2] in chains}
+            if whole and (read := reread(run, whole)) is not None and not BROKEN.search(read):
+                changed += read != run
+                return read
+            own = shape(run)
+            chosen = {s: hit[2] for s, hit in self.hits.get(own, ()) if hit[2] in chains}
             if not chosen:
                 return run
-            parts = [run] if shape(run) in chosen else SUBRUN.findall(run)
-            read = [reread(s, chosen[shape(s)]) if shape(s) in chosen else None for s in parts]
-            changed += sum(t is not None for t in read)
-            return "".join(s if t is None else t for s, t in zip(parts, read, strict=True))
+            parts = [run] if own in chosen else SUBRUN.findall(run)
+            taken = [reread(s, chosen[shape(s)]) if shape(s) in chosen else None for s in parts]
+            changed += sum(t is not None for t in taken)
+            return "".join(s if t is None else t for s, t in zip(parts, taken, strict=True))
 
         restored = RUN.sub(replace, text) if chains else text
         lost = sum(bool(BROKEN.search(r)) for r in RUN.findall(restored)) if BROKEN.search(restored) else 0
@@ -451,8 +493,7 @@ def restore_texts(documents: DataFrame, id_col: str, text_col: str, model: CharM
         restorer = Restorer(shared.value)
         for batch in batches:
             texts = batch["text"].tolist()
-            restorer.learn(texts)
-            rows = [(i, *restorer.restore(t)) for i, t in zip(batch["id"], texts, strict=True)]
+            rows = [(i, *restorer.restore(t, own)) for i, t, own in zip(batch["id"], texts, restorer.learn(texts), strict=True)]
             yield pd.DataFrame([r for r in rows if r[2] or r[3]], columns=["id", "restored", "changed", "lost"])
 
     kind = dict(documents.dtypes)[id_col]

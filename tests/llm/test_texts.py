@@ -43,6 +43,29 @@ def test_encoding_twice_and_clean(model):
     assert restorer.restore(None) == (None, 0, 0) and restorer.restore("plain") == ("plain", 0, 0)
 
 
+WHOLE = [
+    (3, "Проверка с\xa0отклонений и\xa0выявила — а причиной в 2020 г. стало внедрение. "),
+    (5, "Zużycie w zakładzie, ó i ę: limitu żaden zakład nie przekroczył. "),
+    (1, "Änderungen gab es über Öfen. "),
+]
+
+
+@pytest.mark.parametrize(("which", "written", "read"), [(0, "cp1251", "cp1252"), (0, "koi8-r", "cp1252"), (0, "cp1251", "koi8-r"), (0, "cp866", "cp1251"), (0, "cp1251", "mac_roman"), (0, "cp1251", "latin-1"), (1, "cp1250", "cp1252"), (1, "iso8859-2", "cp1252"), (1, "cp852", "cp1250"), (2, "cp1252", "mac_roman"), (2, "cp1252", "cp850"), (2, "mac_roman", "cp1252")])
+def test_encoding_whole_texts_by_one_chain(model, which, written, read):
+    at, more = WHOLE[which]
+    true = (CLEAN[at] + " " + more).encode(written, "ignore").decode(written)
+    garbled = "".join(bytes([b]).decode(read, "ignore") or chr(b) for b in true.encode(written))
+    restorer = encoding.Restorer(model)
+    assert restorer.restore(garbled, restorer.learn([garbled])[0])[0] == true
+
+
+def test_encoding_leaves_the_sound_part(model):
+    half = CLEAN[3] + " " + CLEAN[0].encode("cp1252").decode("mac_roman")
+    restorer = encoding.Restorer(model)
+    restorer.learn([half])
+    assert restorer.restore(half)[0].startswith(CLEAN[3])
+
+
 def test_encoding_tables(spark, model):
     rows = [(1, None), (2, ""), (3, "mÂ³ and nothing else"), (4, CLEAN[0]), (5, "x" * 200_000), (6, "lost �")]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "doc long, text string, id string")
@@ -68,7 +91,7 @@ def test_encoding_margin_depends_on_texts_alone(spark):
     first = encoding.train(texts)
     by_layout = []
     for laid in (texts.coalesce(1), texts.unionAll(texts).repartition(7)):
-        rows = encoding._passed(encoding.different_texts(laid, held_out=True), first, first).collect()
+        rows = encoding._passed(encoding.different_texts(laid, held_out=True).select("text"), first, first).collect()
         by_layout.append((sum(r["n"] for r in rows), encoding.train(laid).margin))
     assert by_layout[0] == by_layout[1] and by_layout[0][0] > 10
 
