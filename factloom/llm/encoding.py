@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,13 +41,13 @@ WRITTEN_IN = {
 }
 MULTIBYTE = ("gbk", "big5", "cp932", "euc_jp", "euc_kr")
 RUN = re.compile(r"(?<![^\x00-\x20])[\x21-\x7f]*[^\x00-\x7f][^\x00-\x20]*")
-JVM_RUN = r"(?<![^\x00-\x20])[\x21-\x7f]*+[^\x00-\x7f][^\x00-\x20]*+"
 BROKEN = re.compile("[\x80-\x9f�]")
 NON_ASCII = re.compile(r"[^\x00-\x7f]")
 STRAY = re.compile("[\udc80-\udcff]")
 UTF8_LEAD = re.compile(rb"[\xc2-\xf4][\x80-\xbf]")
-DIGIT = re.compile("[1-9]")
-SUBRUN = re.compile("[ऀ-๿⺀-￼]+|[^ऀ-๿⺀-￼]+")
+CONTROL = re.compile(r"[\x00-\x1f]")
+WIDE = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\ufe30-\ufe4f\uff00-\uffef]")
+SUBRUN = re.compile("[\u0900-\u0e7f\u2e80-\ud7ff\uf900-\ufaff\ufe30-\uffef]+|[^\u0900-\u0e7f\u2e80-\ud7ff\uf900-\ufaff\ufe30-\uffef]+")
 TRIGRAMS, BIGRAMS, UNIGRAMS = 1 << 20, 1 << 18, 1 << 16
 SLOTS = TRIGRAMS + BIGRAMS + UNIGRAMS
 FOLDS, FALSE_SHARE = 16, 1_000
@@ -74,16 +75,24 @@ def encoded(run: str, page: str) -> bytes | None:
         return None
 
 
-def possible_pages(run: str) -> list[str]:
+@lru_cache(50_000)
+def possible_pages(run: str) -> tuple[str, ...]:
     """The pages of READ_AS that `run` may have been read with."""
-    own = set(NON_ASCII.findall(run))
-    wide = any(c >= "\u2e80" and not "\ue000" <= c <= "\uf8ff" for c in own)
-    return [p for p in READ_AS if (wide if p in MULTIBYTE else not wide and own <= _charmap(p)[1])]
+    own = frozenset(run)
+    wide = WIDE.search(run) is not None
+    return tuple(p for p in READ_AS if (wide if p in MULTIBYTE else not wide and own <= _charmap(p)[1]))
 
 
 def shape(run: str) -> str:
     """`run` with every digit alike: no chain changes digits, so they say nothing about one."""
-    return DIGIT.sub("0", run)
+    for digit in "123456789":
+        run = run.replace(digit, "0")
+    return run
+
+
+def shapes(text: str) -> list[str]:
+    """The shapes of the runs of `text`."""
+    return [r for r in CONTROL.sub(" ", shape(text)).split(" ") if not r.isascii()]
 
 
 def _decoded(data: bytes, page: str) -> str | None:
@@ -229,7 +238,7 @@ def _clean_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in batch["text"]:
             if text is None or text.isascii() or BROKEN.search(text):
                 continue
-            own = RUN.findall(shape(text))
+            own = shapes(text)
             for r in own:
                 if r not in readable:
                     readable[r] = not utf8_readings(r, strict=True)
@@ -325,13 +334,19 @@ def _held() -> Column:
     return F.pmod(F.col("h"), F.lit(FOLDS)) == 0
 
 
+def _reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        texts = [t for t in batch["text"] if not t.isascii()]
+        hashes = np.array([xxhash.xxh64_intdigest(shape(t).encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
+        yield pd.DataFrame({"h": hashes.astype(np.int64), "text": [" ".join(shapes(t)) for t in texts]})
+
+
 def different_texts(texts: DataFrame, held_out: bool = False) -> DataFrame:
     """(h, text) of each text with a non-ASCII character once, digits being alike; with `held_out` those of the fold that is held out.
 
     h is the hash of the whole text, text what is counted of it: its runs, parted by blanks.
     """
-    even = F.translate("text", "123456789", "0" * 9)
-    found = texts.where(F.col("text").rlike(r"[^\x00-\x7f]")).select(F.xxhash64(even).alias("h"), F.array_join(F.regexp_extract_all(even, F.lit(f"({JVM_RUN})"), F.lit(1)), " ").alias("text"))
+    found = texts.select("text").where("text is not null").mapInPandas(_reduced, "h long, text string")
     return (found.where(_held()) if held_out else found).distinct()
 
 
@@ -388,7 +403,7 @@ class Restorer:
 
     def learn(self, texts: list[str | None]) -> list[list[str]]:
         """Decides on all runs of `texts` at once and gives the shapes of the runs of each."""
-        own = [RUN.findall(shape(t)) if t and not t.isascii() else [] for t in texts]
+        own = [shapes(t) if t and not t.isascii() else [] for t in texts]
         if len(self.known) > 300_000:
             self.known.clear()
             self.hits.clear()
@@ -455,7 +470,7 @@ class Restorer:
         """
         if not text or text.isascii():
             return text, 0, 0
-        runs = RUN.findall(shape(text)) if runs is None else runs
+        runs = shapes(text) if runs is None else runs
         chains = self.accepted(runs)
         whole = self.whole_chain(runs, chains) if chains else None
         changed = 0
