@@ -89,10 +89,10 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.max("tokens").alias("fullest"), (F.sum("tokens") / (F.count(F.lit(1)) * capacity)).alias("filled"))
 
 
-def _mix_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mix_parts(spark: SparkSession, sf_dir: str, exact_shares: bool = False) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sized = reliable_checkpoint(with_sizes(documents, "text"))
-    return sized, mixing.plan(sized, table(spark, sf_dir, "mix_targets"))
+    return sized, mixing.plan(sized, table(spark, sf_dir, "mix_targets"), "doc_id", exact_shares=exact_shares)
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +101,17 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual share of every source."""
+    """Target, attainable and actual share of every source in a mix as large as all documents together."""
     sized, planned = _mix_parts(spark, sf_dir)
     return mixing.shares(mixing.mix(sized, planned, "doc_id"), planned)
 
 
+def p8_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the largest mix in which every source can hold its target."""
+    sized, planned = _mix_parts(spark, sf_dir, True)
+    return mixing.shares(mixing.mix(sized, planned, "doc_id"), planned)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that can't reach their target share."""
     return p8_shares(spark, sf_dir).where("not reachable").select("source")
@@ -137,6 +143,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_exact_shares": p8_exact_shares,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }

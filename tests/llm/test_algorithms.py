@@ -108,9 +108,27 @@ def test_pack_documents(spark):
 
 
 def test_rates():
-    for mean, cap in ((0.3, 1), (0.99, 1), (1.7, 3), (4.9, 5), (0.0, 4)):
-        assert mixing.capped_mean(mixing.rate_for(mean, cap), cap) == pytest.approx(mean, abs=1e-6)
-    assert mixing.cumulative(mixing.rate_for(3, 3), 3) == [0.0, 0.0, 0.0]
+    for mean, cap in ((0.3, 1), (0.99, 1), (1.7, 3), (4.9, 5), (0.0, 4), (513, 2_000), (600, 10_000), (700, 800), (9_990, 10_000)):
+        assert mixing.capped_mean(mixing.rate_for(mean, cap), cap) == pytest.approx(mean, rel=1e-6, abs=1e-6)
+    assert mixing.rate_for(600, 10_000) == pytest.approx(600, rel=1e-6)
+    base, table = mixing.cumulative(mixing.rate_for(3, 3), 3)
+    assert (base, len(table)) == (3, 0)
+    base, table = mixing.cumulative(2.0, 4)
+    assert base == 0 and table.tolist() == pytest.approx([0.135335, 0.406006, 0.676676, 0.857123], abs=1e-6)
+
+
+def test_mixing_beyond_a_mean_of_512(spark):
+    sized = spark.createDataFrame([(i, "rare", 10) for i in range(200)] + [(1000 + i, "big", 100) for i in range(4000)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("rare", 0.75, 10_000), ("big", 0.25, 1)], "source string, target_share double, max_repeats int")
+    planned = mixing.plan(sized, targets)
+    uses = mixing.mix(sized, planned).groupBy("source").agg(F.sum("tokens").alias("n"), F.max("copy_no").alias("k")).collect()
+    held = {r["source"]: r for r in uses}
+    # 201.5 uses of each rare document on average for the whole 402,000 tokens; ten times fewer documents need ten times as many.
+    assert held["rare"]["n"] == pytest.approx(0.75 * 402_000, rel=0.01) and held["rare"]["k"] < 250
+    few = sized.where("source = 'big' or doc_id < 40")
+    rows = {r["source"]: r for r in mixing.shares(mixing.mix(few, mixing.plan(few, targets)), mixing.plan(few, targets)).collect()}
+    assert rows["rare"]["reachable"] and 600 < rows["rare"]["most_uses"] < 900
+    assert rows["rare"]["actual_share"] == pytest.approx(0.75, abs=0.005)
 
 
 def test_mixing(spark):
@@ -120,9 +138,16 @@ def test_mixing(spark):
     mixed = mixing.mix(sized, planned, "doc_id")
     rows = {r["source"]: r for r in mixing.shares(mixed, planned).collect()}
     assert not rows["tiny"]["reachable"] and rows["tiny"]["most_uses"] == 3
-    assert rows["big"]["share_of_plan"] == pytest.approx(0.5, abs=0.02) and rows["small"]["share_of_plan"] == pytest.approx(0.4, abs=0.02)
+    # The tenth that tiny can't fill goes to big and small in proportion to their targets.
+    assert rows["big"]["share_of_plan"] == pytest.approx(0.5 / 0.9, abs=0.005) and rows["small"]["share_of_plan"] == pytest.approx(0.4 / 0.9, abs=0.005)
     assert rows["small"]["most_uses"] <= 7 and rows["absent"]["mixed_tokens"] == 0
     uses = mixed.toPandas()
     assert set(uses["source"]) == {"big", "small", "tiny"} and not uses.duplicated(["doc_id", "copy_no"]).any()
     assert (uses["shuffle_key"].diff().dropna() >= 0).all()
+    total = sum(r["mixed_tokens"] for r in rows.values())
+    assert total == pytest.approx(90_030, rel=0.005)
+    assert all(r["actual_share"] == pytest.approx(r["attainable_share"], abs=0.005) for r in rows.values())
+    exact = mixing.plan(sized, targets, exact_shares=True)
+    small = {r["source"]: r for r in mixing.shares(mixing.mix(sized, exact, "doc_id"), exact).collect()}
+    assert all(small[s]["attainable_share"] == pytest.approx(small[s]["target_share"]) for s in ("big", "small", "tiny"))
     assert mixing.shares(mixing.mix(sized.limit(0), mixing.plan(sized.limit(0), targets), "doc_id"), mixing.plan(sized.limit(0), targets)).count() == 5
