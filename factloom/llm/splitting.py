@@ -1,7 +1,9 @@
 """Oversized texts and tables in pieces under a limit, cut at natural boundaries, with overlap.
 
 One regular expression consumes the text: its alternatives, strongest boundary first, each
-take as much as fits; the last takes single characters. All counts are of code points.
+take as much as fits; the last takes single characters. Every quantifier is bounded and a
+boundary is looked for behind the characters taken, so no piece exceeds the limit whatever
+stands there. All counts are of code points.
 """
 
 from __future__ import annotations
@@ -9,10 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What may stand after a cut of a text, strongest first (paragraph, sentence, line, clause, word).
-TEXT_BOUNDARIES = (r"\n[ \t]*\n", r"(?:[.!?…][\"'”’»)\]]*[  \n]|[。！？।॥][」』”’）]*)", r"\n", r"(?:[;:,][ \n]|[、，；：])", r"[  　\t]")
+# What may stand before a cut of a text, strongest first (paragraph, sentence, line, clause, word).
+TEXT_BOUNDARIES = (
+    r"(?<=\n)(?<=\n[ \t]{0,250}\n)",
+    r"(?:(?<=[ \xa0\n])(?<=[.!?…][\"'”’»)\]]{0,9}[ \xa0\n])|(?<=[。！？।॥」』”’）])(?<=[。！？।॥][」』”’）]{0,9})(?![」』”’）]))",
+    r"(?<=\n)",
+    r"(?<=[;:,][ \n]|[、，；：])",
+    r"(?<=[ \xa0\u3000\t])",
+)
 # The same for a table written as lines of cells.
-TABLE_BOUNDARIES = (r"\n", r"\u001f", r"[  ]")
+TABLE_BOUNDARIES = (r"(?<=\n)", r"(?<=\u001f)", r"(?<=[ \xa0])")
 CELL, ROW = "\u001f", "\n"
 
 
@@ -21,37 +29,47 @@ def segment_pattern(size: int, boundaries: tuple[str, ...]) -> str:
 
     Cuts before half of `size` are not sought, so a segment followed by another is at
     least that long; a cut never parts a base character from its combining marks unless
-    `size` of them stand in a row.
+    more than half of `size` of them stand in a row.
     """
-    least = size // 2
-    ends = [f"[\\s\\S]{{{least},{size - 6}}}(?:{b})" for b in boundaries]
-    return "(?:" + "|".join([f"[\\s\\S]{{1,{size}}}\\z", *ends, f"[\\s\\S]{{{least},{size}}}(?!\\p{{M}})", f"[\\s\\S]{{1,{size}}}"]) + ")"
+    most = f".{{{max(1, size // 2)},{size}}}"
+    return f"(?s:.{{1,{size}}}\\z|" + "|".join(most + b for b in boundaries) + f"|{most}(?!\\p{{M}})|.{{1,{size}}})"
+
+
+def _let(value: Column, use: object) -> Column:
+    """`use` of `value`, which is evaluated once however often that names it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def pieces(text: Column, max_chars: int, overlap: int, boundaries: tuple[str, ...] = TEXT_BOUNDARIES) -> Column:
-    """Array of structs (start, chars, piece): the pieces of `text` in order.
+    """Array of texts: the pieces of `text` in order.
 
     A text of at most `max_chars` is one piece, an empty one too; NULL stays NULL. Every
-    later piece begins with the last `overlap` code points of the one before. start is the
-    0-based place of the piece in the text.
+    later piece begins with the last `overlap` code points of the one before.
     """
     if not 0 <= overlap < max_chars // 3:
         raise ValueError("the overlap must be less than a third of the limit")
     segments = F.regexp_extract_all(text, F.lit(f"({segment_pattern(max_chars - overlap, boundaries)})"), F.lit(1))
-    joined = F.transform(segments, lambda s, i: F.when(i > 0, F.concat(F.right(F.get(segments, i - 1), F.lit(overlap)), s)).otherwise(s))
+    before = lambda all_of, i: F.right(F.get(all_of, i - 1), F.lit(overlap))
+    joined = _let(segments, lambda all_of: F.transform(all_of, lambda s, i: F.when(i > 0, F.concat(before(all_of, i), s)).otherwise(s)))
     return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(joined)
 
 
+def _running(lengths: Column) -> Column:
+    """The sum of all before each of `lengths`, by sums of blocks, so that long arrays take no quadratic time."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + b)
+    block = F.ceil(F.sqrt(F.size(lengths))).cast("int")
+    in_blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")), lambda b: total(F.slice(lengths, b * block + 1, block)))
+    full = lambda i: F.floor(i / block).cast("int")
+    return _let(in_blocks, lambda sums: F.transform(lengths, lambda _, i: total(F.slice(sums, F.lit(1), full(i))) + total(F.slice(lengths, full(i) * block + 1, i - full(i) * block))))
+
+
 def placed(cut: DataFrame, array_col: str, overlap: int) -> DataFrame:
-    """One row per piece of `array_col`: piece_no, start, chars, piece."""
-    ends = lambda acc, p: F.concat(acc, F.array(F.when(F.size(acc) == 0, F.length(p)).otherwise(F.element_at(acc, -1) + F.length(p) - overlap)))
-    numbered = cut.withColumn("_ends", F.aggregate(array_col, F.array().cast("array<int>"), ends))
-    each = F.transform(
-        array_col,
-        lambda p, i: F.struct(i.alias("piece_no"), (F.get("_ends", i) - F.length(p)).alias("start"), F.length(p).alias("chars"), p.alias("piece")),
-    )
+    """One row per piece of `array_col`: piece_no, start (0-based place in the text), chars, piece."""
+    added = F.transform(array_col, lambda p, i: F.length(p) - F.when(i > 0, F.lit(overlap)).otherwise(0))
+    starts = F.when(F.size(array_col) > 1, _let(added, _running)).otherwise(F.array(F.lit(0)))
+    each = _let(starts, lambda at: F.transform(array_col, lambda p, i: F.struct(i.alias("piece_no"), (F.get(at, i) - F.when(i > 0, F.lit(overlap)).otherwise(0)).alias("start"), F.length(p).alias("chars"), p.alias("piece"))))
     kept = [c for c in cut.columns if c != array_col]
-    return numbered.select(*kept, F.explode(each).alias("_q")).select(*kept, "_q.*")
+    return cut.select(*kept, F.explode(each).alias("_q")).select(*kept, "_q.*")
 
 
 def table_text(rows: Column) -> Column:

@@ -27,6 +27,23 @@ def test_splitting_round_trip(spark, text):
     assert rebuilt == text
 
 
+@pytest.mark.parametrize(("limit", "overlap"), [(72, 12), (10, 2), (9, 0), (120, 39)])
+def test_splitting_keeps_any_limit(spark, limit, overlap):
+    import random
+
+    rng = random.Random(limit)
+    parts = ["word ", "a.", "\n\n", "\n" + " " * 200 + "\n", ".\"'”" + ")" * 30 + " ", "。」」" * 9, "e\u0301" * 7, "\u0301" * 40, "x" * 90, ", ", "\t", "\U0001f600", "\r\n"]
+    texts = ["A gap.\n" + " " * 200 + "\nB " * 30] + ["".join(rng.choices(parts, k=rng.randrange(1, 60))) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rebuilt = dict.fromkeys(range(len(texts)), "")
+    for r in splitting.split_texts(frame, "id", "text", limit, overlap).orderBy("id", "piece_no").collect():
+        assert r["chars"] == len(r["piece"]) <= limit and texts[r["id"]][r["start"] : r["start"] + r["chars"]] == r["piece"]
+        if r["piece_no"]:
+            assert r["start"] == len(rebuilt[r["id"]]) - overlap
+        rebuilt[r["id"]] = rebuilt[r["id"]][: r["start"]] + r["piece"]
+    assert list(rebuilt.values()) == texts
+
+
 def test_splitting_prefers_paragraphs(spark):
     text = "A first paragraph that is fairly long indeed, yes. It goes on.\n\n" + "B second. " * 20
     assert pieces_of(spark, text)[0]["piece"].endswith("\n\n")
