@@ -1,19 +1,25 @@
 """Ends of sentences in many languages and scripts.
 
-A pushdown automaton runs over the terminators, quotation marks, brackets and blank lines
-of a text. What stands in a matched pair, or in one left open near the end of the text,
-never ends the sentence around it. A full stop is looked up backwards in a trie of
-abbreviations; what follows decides the rest. Thai, which has no terminators, is cut at
-spaces before beginnings, and ends where endings stand, that are learned from the
-paragraphs of the whole corpus.
+A pushdown automaton runs over the terminators, quotation marks, brackets, list markers
+and blank lines of a text. What stands in a matched pair, or in one still open where the
+text breaks off, never ends the sentence around it; a pair can't reach beyond its
+paragraph or list item. List levels are kept on a stack of their own, so the mark of an
+item, which continues or begins a level, is told from a number that ends a sentence. A
+full stop is looked up backwards in a trie of abbreviations; what follows decides the
+rest. Thai, which has no terminators, is cut at spaces before beginnings, and ends where
+endings stand, that are learned from the paragraphs of the whole corpus; in texts of
+several scripts each stretch of lines is handled by its own script.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,16 +53,19 @@ ANNEX = frozenset("annex annexes appendix anhang anexo anexos annexe załącznik
 # Months a German day stands before.
 GERMAN_MONTH = re.compile(r"(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b")
 
-TOKEN = re.compile(r"[.!?…]+|[。！？｡।॥]+|[\"“”„‟«»「」『』()（）\[\]［］]|\n[ \t\r]*\n")
+ITEM = r"(?<![^\n])[ \t]*[(（]?(?:\d{1,3}|[A-Za-z]|[ivxlc]{2,6}|[IVXLC]{2,6})[.)）](?=[ \t])|(?<![^\n])[ \t]*[•▪◦*-](?=[ \t])"
+TOKEN = re.compile(ITEM + r"|[.!?…]+|[。！？｡।॥]+|[\"“”„‟«»「」『』()（）\[\]［］]|\n[ \t\r]*\n")
 CLOSERS = re.compile(r"[   ]?[»]|[\"”“’'」』)\]）］]")
 PAIRS = {"(": ")", "（": "）", "[": "]", "［": "］", "「": "」", "『": "』", "«": "»"}
 OPENING = "\"“„«「『([（［¿¡‘"
 SPACE = re.compile(r"[\s​  ]*")
 THAI = re.compile("[฀-๿]")
-THAI_GAP = re.compile(r"[  ]+(?=[ก-๎A-Z])")
-REACH = 400
+GAP = re.compile(r"[ \xa0\n]+")
+WORDS = re.compile(r"[^\W\d_฀-๿]{2,}")
 BEGINNING, ENDING = 5, 4
-LEARNED = 5_000
+EDGE_SLOTS = 1 << 22
+EDGE_SUPPORT, EDGE_SHARE = 3, 200
+ROMAN = {c: n for c, n in zip("ivxlc", (1, 5, 10, 50, 100), strict=True)}
 
 
 def _trie() -> dict:
@@ -91,19 +100,85 @@ def abbreviation(text: str, stop: int) -> tuple[str, int] | None:
     return found
 
 
-def matched(text: str, tokens: list[re.Match[str]]) -> dict[int, int]:
-    """Of every opening mark that counts, the place of its closing mark; the end of the text if it is left open near it."""
+def _roman(text: str) -> int:
+    values = [ROMAN[c] for c in text]
+    return sum(-v if v < w else v for v, w in zip(values, [*values[1:], 0], strict=True))
+
+
+def _readings(mark: str) -> list[tuple[str, int]]:
+    """(kind of numbering, place in it) a list mark may mean, the likelier first."""
+    inner = mark.strip(" \t().（）")
+    form = mark.strip()[0] in "(（", mark.strip()[-1]
+    case = "upper" if inner.isupper() else "lower"
+    if not inner.isalnum():
+        return [(f"{inner}", 0)]
+    if inner.isdigit():
+        return [(f"digits{form}", int(inner))]
+    letter = [(f"{case} letters{form}", ord(inner.lower()) - 96)] if len(inner) == 1 else []
+    numeral = [(f"{case} numerals{form}", _roman(inner.lower()))] if set(inner.lower()) <= ROMAN.keys() else []
+    return numeral + letter if inner.lower() == "i" else letter + numeral
+
+
+class _Levels:
+    """The stack of list levels: kind of numbering and the place reached in it."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.stack, self.items = text, [], None
+
+    def _followed(self, kind: str, place: int, at: int) -> bool:
+        """Whether a mark that continues the level stands further on."""
+        if self.items is None:
+            self.items = {}
+            for m in re.finditer(ITEM, self.text):
+                for own in _readings(m[0]):
+                    self.items[own] = m.start()
+        return self.items.get((kind, place + 1), -1) > at
+
+    def enter(self, mark: str, at: int) -> bool:
+        """Whether the mark at a line's start is that of an item, whose level is then on top of the stack.
+
+        It is if it continues a level, begins one (1, a, A, i) after a line that is
+        complete or where its successor follows, or stands where a text or paragraph begins.
+        """
+        means = _readings(mark)
+        for kind, place in means:
+            for depth in range(len(self.stack) - 1, -1, -1):
+                if self.stack[depth][0] == kind and (place == self.stack[depth][1] + 1 or not place):
+                    del self.stack[depth:]
+                    self.stack.append((kind, place))
+                    return True
+        above = self.text[:at].rstrip(" \t\r") if at < 80 else self.text[at - 80 : at].rstrip(" \t\r")
+        opens = above in ("", "\n") or above.endswith("\n\n") or re.search(r"\n[ \t\r]*\n$", above) is not None
+        line = above.rstrip()
+        complete = line[-1:] in tuple(".:;!?…。：；！？") and not (line[-1] == "." and abbreviation(line, len(line) - 1))
+        for kind, place in means:
+            if opens or place < 2 and (complete or place and self._followed(kind, place, at)):
+                self.stack.append((kind, place))
+                return True
+        return False
+
+
+def matched(text: str, tokens: list[re.Match[str]]) -> tuple[dict[int, int], set[int]]:
+    """Of every opening mark that counts, the place of its closing mark, the end of the text if it is still open there; and the places of list marks.
+
+    Marks left open at the end of a paragraph before the last, or of a list item, don't count.
+    """
     pairs: dict[int, int] = {}
+    items: set[int] = set()
     stack: list[tuple[str, int]] = []
+    levels = _Levels(text)
     for m in tokens:
         c, i = m[0], m.start()
         if c[0] == "\n":
             stack.clear()
             continue
+        if len(c) > 1 and c[-1] in ".)）" and c.strip(" \t().（）").isalnum() or c[-1] in "•▪◦*-":
+            if levels.enter(c, i):
+                items |= {i, m.end() - len(c.lstrip(" \t"))}
+                stack.clear()
+            continue
         if len(c) > 1 or c in ".!?…。！？｡।॥":
             continue
-        while stack and i - stack[0][1] > REACH:
-            stack.pop(0)
         opens = c in PAIRS or c in "„‟"
         if c in "“\"":
             awaited = any(o == c or c == "“" and o in "„‟" for o, _ in stack)
@@ -119,8 +194,8 @@ def matched(text: str, tokens: list[re.Match[str]]) -> dict[int, int]:
                 pairs[stack[k][1]] = i
                 del stack[k:]
                 break
-    pairs |= {i: len(text) for _, i in stack if len(text) - i <= REACH}
-    return pairs
+    pairs |= {i: len(text) for _, i in stack}
+    return pairs, items
 
 
 def _begins(text: str, at: int) -> bool:
@@ -185,7 +260,7 @@ def sentence_ends(text: str | None) -> list[int]:
     if not text:
         return []
     tokens = list(TOKEN.finditer(text))
-    pairs = matched(text, tokens)
+    pairs, items = matched(text, tokens)
     closes = {j: i for i, j in pairs.items()}
     ends: list[int] = []
     depth_until = -1
@@ -193,8 +268,11 @@ def sentence_ends(text: str | None) -> list[int]:
     size = len(text)
     for m in tokens:
         c, i = m[0], m.start()
-        if c[0] == "\n":
+        if c[0] == "\n" or i in items:
             continue
+        if len(c) > 1 and c[0] not in ".!?…。！？｡।॥":
+            # A mark of no list: what it ends with is a full stop or a bracket like any other.
+            i, c = m.end() - 1, c[-1]
         if i in pairs and pairs[i] > depth_until:
             depth_until = pairs[i]
             continue
@@ -235,8 +313,8 @@ def sentence_ends(text: str | None) -> list[int]:
         if c[0] in "。！？｡।॥":
             good = following >= size or text[following] not in "，、；：—–"
         else:
-            if following < size and not _begins(text, following):
-                good = "\n\n" in text[after:following] and c != "." or text[following : following + 1] in "([" and False
+            if following < size and following not in items and not _begins(text, following):
+                good = "\n\n" in text[after:following] and c != "."
             elif c == ".":
                 good = _stop_ends(text, i, after, following)
             elif after == following and following < size:
@@ -249,81 +327,132 @@ def sentence_ends(text: str | None) -> list[int]:
     return ends
 
 
+@dataclass(frozen=True)
+class Edges:
+    """A set of edges as a bit table of fixed size, so it is bounded whatever the corpus; with 100,000 edges one in 40 others looks held."""
+
+    bits: bytes = bytes(EDGE_SLOTS // 8)
+
+    def __contains__(self, edge: str) -> bool:
+        at = zlib.crc32(edge.encode("utf-8", "surrogatepass")) % EDGE_SLOTS
+        return bool(self.bits[at >> 3] >> (at & 7) & 1)
+
+
 @dataclass(frozen=True)
 class ThaiModel:
     """Beginnings and endings of Thai sentences, learned from paragraphs."""
 
-    beginnings: frozenset[str] = field(default_factory=frozenset)
-    endings: frozenset[str] = field(default_factory=frozenset)
+    beginnings: Edges = field(default_factory=Edges)
+    endings: Edges = field(default_factory=Edges)
 
 
 def _shape(text: str) -> str:
     return re.sub(r"\d+(?:[.,]\d+)*", "0", text)
 
 
-def thai_paragraphs(text: str) -> list[tuple[int, int]]:
-    """Places of paragraphs that hold running Thai; single lines without a blank are headings unless the text is one line."""
-    found, start = [], 0
-    for part in re.split(r"(\n[ \t\r]*\n)", text):
-        if THAI.search(part):
-            found.append((start, start + len(part)))
-        start += len(part)
+def script_parts(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, whether Thai) of stretches of lines of one script, none of which reaches beyond a paragraph.
+
+    A line is Thai if more than a fifth of it is, and of another script if it holds at
+    least four words of that; figures and the like belong to the lines before them.
+    """
+    found: list[tuple[int, int, bool]] = []
+    held: list | None = None
+    at = 0
+    for line in text.split("\n"):
+        end, bare = at + len(line), line.strip()
+        if not bare:
+            if held:
+                found.append((held[0], held[1], bool(held[2])))
+            held = None
+        else:
+            thai = len(THAI.findall(bare))
+            kind = True if 5 * thai > len(bare) else False if len(WORDS.findall(bare)) > 3 else None
+            if held and (kind is None or held[2] is None or held[2] == kind):
+                held[1:] = [end, held[2] if kind is None else kind]
+            else:
+                if held:
+                    found.append((held[0], held[1], bool(held[2])))
+                held = [at, end, kind]
+        at = end + 1
+    if held:
+        found.append((held[0], held[1], bool(held[2])))
     return found
 
 
-def thai_ends(text: str, model: ThaiModel) -> list[int]:
-    """Ends of Thai sentences: before a gap and a learned beginning, and at a learned ending of a paragraph."""
+def thai_ends(body: str, model: ThaiModel) -> list[int]:
+    """Ends of the sentences of a Thai paragraph: before a gap and a learned beginning, and at a learned ending of it."""
     ends = []
-    for a, b in thai_paragraphs(text):
-        body = text[a:b]
-        for m in re.finditer(r"[  \n]+", body):
-            left, right = body[: m.start()], body[m.end() :]
-            if not right or not THAI.search(left[left.rfind("\n") + 1 :]):
-                continue
-            if right[:BEGINNING] in model.beginnings and _shape(left[-12:])[-ENDING:] in model.endings:
-                ends.append(a + m.start())
-        tail = body.rstrip()
-        while tail and not THAI.search(tail[tail.rfind("\n") + 1 :]) and "\n" in tail:
-            tail = tail[: tail.rfind("\n")].rstrip()
-        if tail and _shape(tail[-12:])[-ENDING:] in model.endings and (" " in tail or len(tail) > 24):
-            ends.append(a + len(tail))
+    for m in GAP.finditer(body):
+        left, right = body[max(0, m.start() - 12) : m.start()], _shape(body[m.end() : m.end() + 24])[:BEGINNING]
+        if not right or not THAI.search(body, body.rfind("\n", 0, m.start()) + 1, m.start()):
+            continue
+        if right in model.beginnings and _shape(left)[-ENDING:] in model.endings:
+            ends.append(m.start())
+    tail = body.rstrip()
+    while tail and not THAI.search(tail[tail.rfind("\n") + 1 :]) and "\n" in tail:
+        tail = tail[: tail.rfind("\n")].rstrip()
+    if tail and _shape(tail[-12:])[-ENDING:] in model.endings and (" " in tail or len(tail) > 24):
+        ends.append(len(tail))
     return ends
 
 
-def _thai_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _thai_paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for text, whole in zip(batch["text"], batch["whole"], strict=True):
-            places = thai_paragraphs(text)
+            places = [(a, b) for a, b, thai in script_parts(text) if thai]
             for k, (a, b) in enumerate(places):
-                body = text[a:b].strip()
-                if " " not in body and len(body) <= 24:
-                    continue
-                if k or whole:
-                    rows.append(("b", body[:BEGINNING]))
-                if k + 1 < len(places) or whole:
-                    rows.append(("e", _shape(body[-12:])[-ENDING:]))
-        yield pd.DataFrame(rows, columns=["kind", "edge"])
+                body = _shape(text[a:b].strip())
+                if " " in body or len(body) > 24:
+                    rows.append((body, bool(k or whole), bool(k + 1 < len(places) or whole)))
+        yield pd.DataFrame(rows, columns=["body", "begins", "ends"])
+
+
+def _thai_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        counts: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+        for body, begins, ends in zip(batch["body"], batch["begins"], batch["ends"], strict=True):
+            counts["b", body[:BEGINNING]][0] += begins
+            counts["e", body[-ENDING:]][0] += ends
+            counts["b", body[:BEGINNING]][1] += 1
+            counts["e", body[-ENDING:]][1] += 1
+            for m in GAP.finditer(body):
+                counts["b", body[m.end() : m.end() + BEGINNING]][1] += 1
+                counts["e", body[max(0, m.start() - ENDING) : m.start()]][1] += 1
+        yield pd.DataFrame([(k, e, n, every) for (k, e), (n, every) in counts.items()], columns=["kind", "edge", "n", "every"])
 
 
 def learn_thai(texts: DataFrame) -> ThaiModel:
     """Beginnings and endings from all paragraphs of `texts` (text, whole); whole marks texts that begin and end with a sentence.
 
-    Those seen at least three times and by a fiftieth of the most frequent count, and of
-    these the 5,000 most frequent, which bounds the model.
+    Paragraphs that differ, digits being alike, count once. An edge counts if at least
+    three begin, or end, with it, and these are at least one in 200 of all places at a gap
+    where its characters stand.
     """
-    edges = texts.where(F.col("text").rlike("[\\u0E00-\\u0E7F]")).mapInPandas(_thai_edges, "kind string, edge string").groupBy("kind", "edge").agg(F.count(F.lit(1)).alias("n"))
-    rows = edges.where("n >= 3").orderBy(F.desc("n"), "edge").limit(2 * LEARNED).collect()
-    most = {k: max((r["n"] for r in rows if r["kind"] == k), default=0) for k in "be"}
-    kept = {k: frozenset(r["edge"] for r in rows if r["kind"] == k and 50 * r["n"] >= most[k]) for k in "be"}
-    return ThaiModel(kept["b"], kept["e"])
+    different = texts.where(F.col("text").rlike("[\\u0E00-\\u0E7F]")).mapInPandas(_thai_paragraphs, "body string, begins boolean, ends boolean").groupBy("body").agg(F.bool_or("begins").alias("begins"), F.bool_or("ends").alias("ends"))
+    edges = different.mapInPandas(_thai_edges, "kind string, edge string, n long, every long").groupBy("kind", "edge").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+    slots = edges.where((F.col("n") >= EDGE_SUPPORT) & (EDGE_SHARE * F.col("n") >= F.col("every"))).select("kind", F.pmod(F.crc32(F.encode("edge", "UTF-8")), F.lit(EDGE_SLOTS)).alias("slot")).distinct().toPandas()
+    tables = []
+    for kind in "be":
+        bits = np.zeros(EDGE_SLOTS, np.uint8)
+        bits[slots.loc[slots["kind"] == kind, "slot"].to_numpy(np.int64)] = 1
+        tables.append(Edges(np.packbits(bits, bitorder="little").tobytes()))
+    return ThaiModel(*tables)
 
 
 def all_ends(text: str | None, model: ThaiModel) -> list[int]:
-    """Ends of the sentences of a text in any of the languages."""
-    if text and len(THAI.findall(text)) > len(text) // 5:
-        return sorted(set(thai_ends(text, model)))
-    return sentence_ends(text)
+    """Ends of the sentences of a text in any of the languages, in order."""
+    if not text or not THAI.search(text):
+        return sentence_ends(text)
+    thai = [(a, b) for a, b, is_thai in script_parts(text) if is_thai]
+    ends: list[int] = []
+    done = 0
+    for a, b in [*thai, (len(text), len(text))]:
+        ends += [done + e for e in sentence_ends(text[done:a])] if a > done else []
+        ends += [a + e for e in thai_ends(text[a:b], model)] if b > a else []
+        done = b
+    return ends
 
 
 def split_documents(df: DataFrame, id_col: str, text_col: str, model: ThaiModel, units: bool = True) -> DataFrame:

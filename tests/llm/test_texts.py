@@ -140,7 +140,7 @@ def test_sentences(marked):
 
 def test_thai_and_tables(spark):
     a, b = "ข้อมูลปีก่อนได้รับการแก้ไขแล้ว", "หน่วยงานใช้น้ำ 36,049 ลบ.ม. ต่อเดือน"
-    frame = spark.createDataFrame([(1, f"{a} {b}", "x"), (2, None, "x"), (3, "", "x"), (4, "One. Two", "x")] + [(10 + i, t, "x") for i in range(4) for t in (a, b)], "id long, text string, end_pos string")
+    frame = spark.createDataFrame([(1, f"{a} {b}", "x"), (2, None, "x"), (3, "", "x"), (4, "One. Two", "x")] + [(10 + i, t[:8] + x + t[8:], "x") for i, x in enumerate(("", "ก", "ข", "ค")) for t in (a, b)], "id long, text string, end_pos string")
     thai = sentences.learn_thai(frame.select("text", F.lit(True).alias("whole")))
     rows = sentences.split_documents(frame, "id", "text", thai).collect()
     assert [(r["start_pos"], r["end_pos"]) for r in rows if r["id"] == 1] == [(0, len(a)), (len(a), len(a) + 1 + len(b))]
@@ -149,6 +149,49 @@ def test_thai_and_tables(spark):
     assert sentences.split_documents(frame.limit(0), "id", "text", sentences.learn_thai(frame.limit(0).select("text", F.lit(True).alias("whole")))).count() == 0
 
 
+def test_thai_edges_don_t_depend_on_copies(spark):
+    paragraphs = [f"{b}{x}{e}" for b in ("ข้อมูล", "หน่วยงาน") for x in ("หนึ่งและทั้งหมดในปี", "สองและทั้งหมดในปี", "สามและทั้งหมดในปีก่อน") for e in ("แล้ว", "เดือน")]
+    copied = [("บริษัทลดการใช้น้ำทั้งหมดใหม่",)] * 900
+    learn = lambda rows: sentences.learn_thai(spark.createDataFrame(rows, "text string").withColumn("whole", F.lit(True)))
+    alone, crowded = learn([(p,) for p in paragraphs]), learn([(p,) for p in paragraphs] + copied)
+    assert alone == crowded and "ข้อมู" in alone.beginnings and "แล้ว" in alone.endings and "บริษั" not in crowded.beginnings
+
+
+def test_sentences_of_several_scripts(spark):
+    a, b = "ข้อมูลปีก่อนได้รับการแก้ไขแล้ว", "หน่วยงานใช้น้ำ 36,049 ลบ.ม. ต่อเดือน"
+    frame = spark.createDataFrame([(t[:8] + x + t[8:],) for x in ("", "ก", "ข", "ค") for t in (a, b)], "text string")
+    thai = sentences.learn_thai(frame.withColumn("whole", F.lit(True)))
+    english = "This is the English one. This is two."
+    assert sentences.all_ends(f"ข้อมูลสิ่งแวดล้อม\n{english}", thai) == [18 + 24, 18 + 37]
+    mixed = f"{a} {b}\n\n{english}\n{a}"
+    at = len(a) + len(b) + 3
+    assert sentences.all_ends(mixed, thai) == [len(a), len(a) + 1 + len(b), at + 24, at + 37, len(mixed)]
+
+
+@pytest.mark.parametrize(
+    "marked",
+    [
+        "Items:\n1. First item is here.|\n2. Second one is, too.|\n3. Third.|",
+        "We did this:\na. It was read.|\n   i. By us.|\n   ii. By them.|\nb. It was kept.|\nc. Nothing else.|",
+        "Complete.|\n1) One (and so on.|\n2) Two “of them.|\n3) Three.|",
+        "A list of\n1. water and\n2. gas.|\nThe limit was\n35.| The council agreed.|",
+        "4. The fourth item.|\n5. The fifth.|\nIn all there are\n7.| No more.|",
+        "• One.|\n• Two.|\n- Three.|",
+    ],
+)
+def test_list_levels(marked):
+    parts = marked.split("|")
+    places = [sum(map(len, parts[: i + 1])) for i in range(len(parts) - 1)]
+    assert sentences.sentence_ends("".join(parts)) == places
+
+
+def test_marks_are_matched_whatever_lies_between():
+    inner = "It was read. It was kept. " * 40
+    assert sentences.sentence_ends(f"The plant (see: {inner}) closed. Next.") == [len(inner) + 25, len(inner) + 31]
+    assert sentences.sentence_ends(f"He said “{inner}” and left. Next.") == [len(inner) + 20, len(inner) + 26]
+    assert len(sentences.sentence_ends(f"One (two. Three.\n\n{inner}")) == 82
+
+
 def test_long_text_is_linear():
     text = "The plant used 5 MWh. " * 20_000
     assert len(sentences.sentence_ends(text)) == 20_000
