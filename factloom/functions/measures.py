@@ -59,10 +59,14 @@ def _spellings() -> dict[str, tuple[str, float]]:
 SPELLINGS = _spellings()
 
 
+WHITE = re.compile(r"\s+")
+GAPS = re.compile(r"[^\S ]+|  +")
+
+
 def folded(text: str) -> str:
     """Lower case, compatibility forms, plain apostrophes and single blanks."""
-    t = unicodedata.normalize("NFKC", text).lower().replace("’", "'").replace("‘", "'").replace("\xad", "")
-    return re.sub(r"\s+", " ", t)
+    t = text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower().replace("’", "'").replace("‘", "'").replace("\xad", "")
+    return WHITE.sub(" ", t) if GAPS.search(t) else t
 
 
 def _pattern(words: list[str]) -> str:
@@ -112,13 +116,17 @@ NUMBER = re.compile(r"(?<![\w.,])[-+]?\d{1,3}(?:[ ,\xa0 ']\d{3})+(?:\.\d+)?(?!
 SCALED = re.compile(r" ?(thousand|million|billion|bn|mn|k|m)(?![\w])")
 
 
+PLAIN = re.compile(r"[-+]?\d{1,3}(?:,\d{3})*(?:\.\d+)?|[-+]?\d+(?:\.\d+)?")
+SEPARATORS = re.compile(r"[ \xa0\u202f']")
+THOUSANDS = re.compile(r"[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?")
+
+
 def to_number(text: str) -> float | None:
     """The number a matched text prints; a comma before one or two last digits is decimal."""
-    t = re.sub(r"[ \xa0 ']", "", text)
-    if re.fullmatch(r"[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?", t):
-        t = t.replace(",", "")
-    elif "," in t:
-        t = t.replace(",", ".")
+    if PLAIN.fullmatch(text):
+        return float(text.replace(",", ""))
+    t = SEPARATORS.sub("", text)
+    t = t.replace(",", "" if THOUSANDS.fullmatch(t) else ".")
     try:
         return float(t)
     except ValueError:
@@ -127,6 +135,8 @@ def to_number(text: str) -> float | None:
 
 def numbers(text: str) -> list[tuple[int, int, float]]:
     """(start, end, number) of the numbers in a folded text."""
+    if PLAIN.fullmatch(text):
+        return [(0, len(text), float(text.replace(",", "")))]
     found = []
     for m in NUMBER.finditer(text):
         v = to_number(m[0])

@@ -2,9 +2,11 @@
 
 What a record states decides: its unit field, the unit printed in its text, and whether
 the value is the printed number or one converted already. Where nothing is stated, the
-unit is assigned by the posterior of a mixture on the log scale: one normal distribution
-per indicator in canonical units, shifted by every known conversion factor, fitted to all
-values with and without units. Posteriors below 0.95 are flagged as uncertain.
+unit is assigned by the posterior of a mixture on the log scale: one distribution per
+indicator in canonical units, shifted by every known conversion factor, fitted to all
+values with and without units. Within one company and year a value mostly repeats another
+one; how often is estimated, and weighs the known values near each candidate against the
+indicator's normal distribution. Posteriors below 0.95 are flagged as uncertain.
 """
 
 from __future__ import annotations
@@ -13,26 +15,30 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.functions.measures import CELL_SCALES, SCALED, folded, mentions, numbers, read_unit
-from factloom.session import reliable_checkpoint
+from factloom.functions.measures import CELL_SCALES, PLAIN, SCALED, folded, mentions, numbers, read_unit
+from factloom.session import fits_broadcast, written
 
 REGISTRY_ROWS = 10_000
 CLOSE = 6e-4
 BIN = 0.05
 SURE = 0.95
-WITHIN_GROUP = 0.02
+# Width in log10 of the cells in which known values of a company and year are counted.
+CELL = 0.002
+CACHED = 100_000
 BROKEN = re.compile(r"(?<=\w)[-‐‑¬\xad][ \t]*\n[ \t]*(?=\w)")
 BRACKETED = re.compile(r"[(\[{]([^()\[\]{}]*(?:\([^()]*\)[^()\[\]{}]*)*)[)\]}]")
 RESULT = "src string, row_id long, row_no int, kpi string, company string, report_year int, values array<double>, unit string, factors array<double>, basis string"
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Registry:
     """Indicators with canonical unit and names, and unit factors."""
 
@@ -46,6 +52,7 @@ class Registry:
         canonical, factor = self.factors.get(unit, (None, 0.0))
         return factor * times if canonical is not None and canonical == self.canonical.get(kpi or "") else None
 
+    @lru_cache(CACHED)  # noqa: B019
     def indicator(self, label: str) -> tuple[str, int] | None:
         """The indicator whose longest name is in a folded label, and where that ends."""
         for name, kpi in self.names:
@@ -57,9 +64,9 @@ class Registry:
 
 def registry(kpis: DataFrame, unit_factors: DataFrame) -> Registry:
     """The registry from its two tables, each of at most 10,000 rows."""
-    rows, units = kpis.limit(REGISTRY_ROWS + 1).collect(), unit_factors.limit(REGISTRY_ROWS + 1).collect()
-    if max(len(rows), len(units)) > REGISTRY_ROWS:
+    if not (fits_broadcast(kpis, REGISTRY_ROWS) and fits_broadcast(unit_factors, REGISTRY_ROWS)):
         raise ValueError("the registry of indicators or units is too large to be sent to every task")
+    rows, units = kpis.collect(), unit_factors.collect()
     names = {(folded(n), r["kpi"]) for r in rows for n in [r["query"], *(r["queries"] or [])] if n}
     return Registry(
         {r["kpi"]: r["canonical_unit"] for r in rows},
@@ -116,6 +123,12 @@ def _records(src: str, known: Registry, batches: Iterator[pd.DataFrame]) -> Iter
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 
 
+@lru_cache(CACHED)
+def _folded_label(text: str) -> str:
+    return folded(text)
+
+
+@lru_cache(CACHED)
 def _label_unit(text: str, kpi: str, known: Registry) -> tuple[str, float] | None:
     """The unit of the indicator's kind that a folded label ends with, in brackets or not."""
     for part in reversed(BRACKETED.findall(text)):
@@ -134,6 +147,7 @@ def _trailing(text: str) -> list[tuple[str, float]]:
     return [(unit, times) for _, b, unit, times in mentions(text) if b in (end, inner)]
 
 
+@lru_cache(CACHED)
 def _header_unit(header: str) -> tuple[str, float] | None:
     own = read_unit(header)
     if own:
@@ -160,7 +174,7 @@ def table_quantities(headers: list[str], rows: list[list[str]], known: Registry)
         cells = [c or "" for c in row or []]
         if not any(c.strip() for c in cells):
             continue
-        label = folded(cells[0])
+        label = _folded_label(cells[0])
         named = known.indicator(label)
         if named is None:
             if not any(c.strip() for c in cells[1:]) and (own := read_unit(cells[0])):
@@ -178,11 +192,12 @@ def table_quantities(headers: list[str], rows: list[list[str]], known: Registry)
         for i, cell in enumerate(cells[1:], 1):
             if i in unit_cols or not unit_cols and i == 1 and stated:
                 continue
-            t = folded(cell)
-            read = numbers(t)
-            if not read:
+            if PLAIN.fullmatch(cell):
+                t, stop, value = cell, len(cell), float(cell.replace(",", ""))
+            elif read := numbers(t := folded(cell)):
+                _, stop, value = read[0]
+            else:
                 continue
-            _, stop, value = read[0]
             scale, rest = 1.0, t[stop:].strip()
             own = read_unit(rest) if rest else None
             if own is None and rest and (m := SCALED.match(t, stop)):
@@ -225,9 +240,9 @@ def quantities(extractions: DataFrame, gold_labels: DataFrame, report_tables: Da
     return a.unionAll(b).unionAll(c)
 
 
-def changed(found: DataFrame) -> DataFrame:
-    """(src, row_id, row_no) of quantities with a stated or printed unit whose number changes in the canonical unit."""
-    return found.where(F.col("basis").isin("stated", "printed") & F.exists("factors", lambda f: f.isNotNull() & (F.abs(f - 1.0) > 1e-9))).select("src", "row_id", "row_no").distinct()
+def changed(converted: DataFrame) -> DataFrame:
+    """(src, row_id, row_no) of the quantities of `convert` with a stated or printed unit whose number changes in the canonical unit."""
+    return converted.where(F.col("basis").isin("stated", "printed") & (F.abs(F.col("factor") - 1.0) > 1e-9)).select("src", "row_id", "row_no").distinct()
 
 
 @dataclass(frozen=True)
@@ -268,20 +283,10 @@ def fit_mixture(known: list[tuple[float, float, float]], unknown: list[tuple[flo
     return Mixture(mean, deviation, tuple(shifts.tolist()), tuple(weights.tolist()))
 
 
-def posterior(log_value: float, mixture: Mixture, group_mean: float | None = None, group_n: int = 0) -> tuple[float, float]:
-    """(log10 factor, probability) of the likeliest unit of a value without unit.
-
-    Known canonical values of the same company, year and indicator narrow the
-    distribution, if there are any.
-    """
-    mean, deviation = mixture.mean, mixture.deviation
-    if group_n and group_mean is not None:
-        mean, deviation = group_mean, math.sqrt(WITHIN_GROUP**2 + 0.1**2 / group_n)
-    log = [math.log(w) - (log_value + s - mean) ** 2 / (2 * deviation**2) for s, w in zip(mixture.offsets, mixture.weights, strict=True)]
-    top = max(log)
-    share = [math.exp(v - top) for v in log]
-    best = int(np.argmax(share))
-    return mixture.offsets[best], share[best] / sum(share)
+def densities(log_value: float, mixture: Mixture) -> list[tuple[float, float, float]]:
+    """(log10 factor, its weight, density of the indicator's values there) of each unit a value may have."""
+    deviation = mixture.deviation
+    return [(s, w, math.exp(-((log_value + s - mixture.mean) ** 2) / (2 * deviation**2)) / (deviation * math.sqrt(2 * math.pi))) for s, w in zip(mixture.offsets, mixture.weights, strict=True)]
 
 
 def even_company(name: Column) -> Column:
@@ -289,6 +294,21 @@ def even_company(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"(?U)[\s_\-]", ""))
 
 
+def log_cell(c: Column) -> Column:
+    """The cell of a canonical value."""
+    return F.floor(F.log10(c) / CELL).cast("long")
+
+
+def repeating_share(cells: DataFrame, group: list[str]) -> float:
+    """How often a known value lies in or next to the cell of another one of its group, of those that have another one; `cells` is (group, cell, n)."""
+    own = W.partitionBy(*group)
+    order = own.orderBy("cell")
+    beside = F.coalesce(F.col("cell") - F.lag("cell").over(order) == 1, F.lit(False)) | F.coalesce(F.lead("cell").over(order) - F.col("cell") == 1, F.lit(False))
+    judged = cells.withColumn("total", F.sum("n").over(own)).withColumn("near", F.when((F.col("n") > 1) | beside, F.col("n")).otherwise(0)).where("total > 1")
+    found = judged.agg(F.sum("near").alias("near"), F.sum("n").alias("n")).first()
+    return (found["near"] or 0) / found["n"] if found["n"] else 0.0
+
+
 def convert(found: DataFrame, known: Registry) -> DataFrame:
     """One row per value: src, row_id, row_no, value_no, kpi, value, unit, factor, canonical_value, basis, probability, uncertain.
 
@@ -296,19 +316,22 @@ def convert(found: DataFrame, known: Registry) -> DataFrame:
     probability; they are `uncertain` below 0.95, and so is everything contrary, which
     keeps its value and gets no canonical one. Values that are NULL, zero or negative have
     no logarithm; without unit they, and values of unlisted indicators, stay `unknown`.
+    Known values of the same company, year and indicator are counted in cells of 0.002 in
+    log10, so a group of any size is a table of cells and is never brought together.
     """
-    each = found.select("*", F.posexplode(F.arrays_zip("values", "factors")).alias("value_no", "v")).select(
+    read = written(found)
+    each = read.select("*", F.posexplode(F.arrays_zip("values", "factors")).alias("value_no", "v")).select(
         "src", "row_id", "row_no", "value_no", "kpi", even_company(F.col("company")).alias("company"), "report_year", F.col("v.values").alias("value"), "unit", F.col("v.factors").alias("factor"), "basis"
     )
-    each = reliable_checkpoint(each)
     positive = each.where("value > 0")
     log_value = F.log10("value")
-    stated = positive.where("factor is not null").withColumn("log_canonical", F.log10(F.col("value") * F.col("factor")))
+    stated = positive.where("factor is not null")
+    guessable = F.coalesce((F.col("basis") == "unknown") & (F.col("value") > 0) & F.col("kpi").isin(*known.canonical), F.lit(False))
     # At most one row per indicator, factor and bin of 0.05 in log10: bounded by the registry, not by the data.
     bins = (
-        stated.groupBy("kpi", F.round(F.log10("factor"), 6).alias("f"), F.floor(log_value / BIN).alias("bin"))
+        positive.where(F.col("factor").isNotNull() | (F.col("basis") == "unknown"))
+        .groupBy("kpi", F.round(F.log10("factor"), 6).alias("f"), F.floor(log_value / BIN).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .unionByName(positive.where("basis = 'unknown'").groupBy("kpi", F.floor(log_value / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumn("f", F.lit(None).cast("double")))
         .toPandas()
     )
     mixtures = {}
@@ -318,19 +341,37 @@ def convert(found: DataFrame, known: Registry) -> DataFrame:
         f, n = own["f"].to_numpy(float), own["n"].to_numpy(float)
         offsets = [round(math.log10(x), 6) for c, x in known.factors.values() if c == known.canonical.get(kpi)]
         mixtures[kpi] = fit_mixture(list(zip(at[is_known], f[is_known], n[is_known], strict=True)), list(zip(at[~is_known], n[~is_known], strict=True)), offsets)
-    group = ["company", "report_year", "kpi"]
-    groups = stated.groupBy(*group).agg(F.avg("log_canonical").alias("group_mean"), F.count(F.lit(1)).alias("group_n"), F.stddev_pop("log_canonical").alias("spread"))
-    groups = groups.where("spread is null or spread < 0.2").drop("spread")
-    guessable = F.coalesce((F.col("basis") == "unknown") & (F.col("value") > 0) & F.col("kpi").isin(*known.canonical), F.lit(False))
-    asked = each.where(guessable).join(groups, group, "left")
-    share = each.sparkSession.sparkContext.broadcast(mixtures)
-
-    @F.pandas_udf("struct<factor: double, probability: double>")
-    def assign(kpi: pd.Series, value: pd.Series, mean: pd.Series, n: pd.Series) -> pd.DataFrame:
-        out = [posterior(math.log10(v), share.value[k], None if pd.isna(m) else m, 0 if pd.isna(c) else int(c)) for k, v, m, c in zip(kpi, value, mean, n, strict=True)]
-        return pd.DataFrame([(10**f, p) for f, p in out], columns=["factor", "probability"])
-
     columns = ["src", "row_id", "row_no", "value_no", "kpi", "value", "unit"]
-    guessed = asked.withColumn("a", assign("kpi", "value", "group_mean", "group_n")).select(*columns, F.col("a.factor").alias("factor"), F.lit("posterior").alias("basis"), F.col("a.probability").alias("probability"))
+    guessed = written(_assigned(each.where(guessable), stated, mixtures).select(*columns, "factor", F.lit("posterior").alias("basis"), "probability"))
     rest = each.where(~guessable).select(*columns, "factor", "basis", F.when(F.col("factor").isNotNull(), F.lit(1.0)).alias("probability"))
     return rest.unionByName(guessed).select(*columns, "factor", (F.col("value") * F.col("factor")).alias("canonical_value"), "basis", "probability", (F.coalesce("probability", F.lit(0.0)) < SURE).alias("uncertain"))
+
+
+def _assigned(asked: DataFrame, stated: DataFrame, mixtures: dict[str, Mixture]) -> DataFrame:
+    """`asked` with the likeliest factor and its probability, from `mixtures` and the `stated` values of the same company, year and indicator.
+
+    Equal values of a group are judged once. Values without company or year are judged by
+    the mixture of their indicator alone.
+    """
+    group = ["company", "report_year", "kpi"]
+    cells = written(stated.where("company is not null and report_year is not null").groupBy(*group, log_cell(F.col("value") * F.col("factor")).alias("cell")).agg(F.count(F.lit(1)).alias("n")))
+    repeats = repeating_share(cells, group)
+    totals = cells.groupBy(*group).agg(F.sum("n").alias("total"))
+    share = asked.sparkSession.sparkContext.broadcast(mixtures)
+
+    @F.pandas_udf("array<struct<offset: double, weight: double, density: double>>")
+    def candidates(kpi: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([densities(math.log10(v), share.value[k]) for k, v in zip(kpi, value, strict=True)])
+
+    keyed = asked.withColumns({"_company": F.coalesce("company", F.lit("")), "_year": F.coalesce("report_year", F.lit(-1)), "_held": F.col("company").isNotNull() & F.col("report_year").isNotNull()})
+    key = ["_held", "_company", "_year", "kpi", "value"]
+    # Without a company the group is NULL, which meets no known values.
+    different = keyed.groupBy(*key).agg(F.first("company").alias("company"), F.first("report_year").alias("report_year")).withColumn("report_year", F.when(F.col("_held"), F.col("report_year")))
+    each = different.join(totals, group, "left").withColumn("c", F.explode(candidates("kpi", "value"))).select(*key, *group[:2], "total", "c.*")
+    beside = each.where("total is not null").withColumn("cell", F.explode(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.floor((F.log10("value") + F.col("offset")) / CELL).cast("long") + d)))
+    near = beside.join(cells, [*group, "cell"]).groupBy(*key, "offset").agg(F.sum("n").alias("near"))
+    density = F.when(F.col("total").isNull(), F.col("density")).otherwise(repeats * F.coalesce("near", F.lit(0)) / F.col("total") / (3 * CELL) + (1 - repeats) * F.col("density"))
+    # Far from everything known no density is left; there the weights alone decide.
+    weighed = each.join(near, [*key, "offset"], "left").withColumn("score", F.col("weight") * (density + 1e-300))
+    best = weighed.groupBy(*key).agg(F.max_by("offset", F.struct("score", (-F.abs("offset")).alias("o"), "offset")).alias("offset"), (F.max("score") / F.sum("score")).alias("probability"))
+    return keyed.join(best, key).withColumn("factor", F.pow(F.lit(10.0), F.col("offset")))

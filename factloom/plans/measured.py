@@ -16,7 +16,7 @@ def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, quantities.Regi
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities whose number changes in the canonical unit of their indicator."""
-    return quantities.changed(_found(spark, sf_dir)[0])
+    return quantities.changed(quantities.convert(*_found(spark, sf_dir)))
 
 
 def p3_converted(spark: SparkSession, sf_dir: str) -> DataFrame:

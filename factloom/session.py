@@ -1,10 +1,14 @@
-"""Reading tables and cutting lineage, the same on a laptop and on a cluster."""
+"""Reading tables, cutting lineage and sending small tables, the same on a laptop and on a cluster."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,19 +16,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder of spark.checkpoint.dir and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, as the session names it.
 
-    The folder the session names is taken as it is. Only a session that names none,
-    as in tests on one machine, gets a temporary one.
+    Only a session on one machine that names none, as in tests, gets a temporary one; on a
+    cluster that is an error, as no executor could read what another wrote there.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", "")
+        if not named and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def fits_broadcast(df: DataFrame, limit: int) -> bool:
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder: smaller than a checkpoint, and read by column."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether `df` has at most `limit` rows; at most `limit` + 1 rows are counted."""
     return df.limit(limit + 1).count() <= limit
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` marked for broadcast if it has at most `limit` rows; a larger one is whole too and joined as the planner sees fit."""
+    return F.broadcast(df) if fits_broadcast(df, limit) else df

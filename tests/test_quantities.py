@@ -55,5 +55,5 @@ def test_mixture_assigns_missing_units(spark, known):
     assert out[500]["basis"] == "posterior" and out[500]["canonical_value"] == pytest.approx(1020.0) and not out[500]["uncertain"]
     assert out[501]["canonical_value"] == pytest.approx(1015.0)
     assert out[502]["canonical_value"] is None and out[503]["basis"] == "unknown" and out[503]["uncertain"]
-    changed = {r["row_id"] for r in q.changed(q.quantities(frame, labels, tables, known)).collect()}
+    changed = {r["row_id"] for r in q.changed(q.convert(q.quantities(frame, labels, tables, known), known)).collect()}
     assert changed == {100 + i for i in range(20)}
