@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.measures import CELL_SCALES, PLAIN, SCALED, folded, mentions, numbers, read_unit
-from factloom.session import fits_broadcast, written
+from factloom.session import fits_broadcast, small, written
 
 REGISTRY_ROWS = 10_000
 CLOSE = 6e-4
@@ -33,6 +33,7 @@ SURE = 0.95
 # Width in log10 of the cells in which known values of a company and year are counted.
 CELL = 0.002
 CACHED = 100_000
+BROADCAST_GROUPS = 500_000
 BROKEN = re.compile(r"(?<=\w)[-‐‑¬\xad][ \t]*\n[ \t]*(?=\w)")
 BRACKETED = re.compile(r"[(\[{]([^()\[\]{}]*(?:\([^()]*\)[^()\[\]{}]*)*)[)\]}]")
 RESULT = "src string, row_id long, row_no int, kpi string, company string, report_year int, values array<double>, unit string, factors array<double>, basis string"
@@ -189,11 +190,18 @@ def table_quantities(headers: list[str], rows: list[list[str]], known: Registry)
         if inherited is None and section and known.factor(*section, kpi) is not None:
             inherited = section
         values, factors, spelled = [], [], None
+        base = column_unit or (None if stated else inherited)
+        base_factor = known.factor(*base, kpi) if base else None
         for i, cell in enumerate(cells[1:], 1):
             if i in unit_cols or not unit_cols and i == 1 and stated:
                 continue
             if PLAIN.fullmatch(cell):
                 t, stop, value = cell, len(cell), float(cell.replace(",", ""))
+                if base:
+                    values.append(value)
+                    factors.append(base_factor)
+                    spelled = spelled or base[0]
+                    continue
             elif read := numbers(t := folded(cell)):
                 _, stop, value = read[0]
             else:
@@ -203,7 +211,7 @@ def table_quantities(headers: list[str], rows: list[list[str]], known: Registry)
             if own is None and rest and (m := SCALED.match(t, stop)):
                 scale, rest = CELL_SCALES[m[1]], t[m.end() :].strip()
                 own = read_unit(rest) if rest else None
-            unit = own or column_unit or (None if stated else inherited)
+            unit = own or base
             if unit is None and not stated:
                 at = by_header[i] if i < len(by_header) else None
                 unit = next((u for u in (at, *by_header) if u and known.factor(*u, kpi) is not None), None)
@@ -319,9 +327,9 @@ def convert(found: DataFrame, known: Registry) -> DataFrame:
     Known values of the same company, year and indicator are counted in cells of 0.002 in
     log10, so a group of any size is a table of cells and is never brought together.
     """
-    read = written(found)
+    read = written(found.withColumn("company", even_company(F.col("company"))))
     each = read.select("*", F.posexplode(F.arrays_zip("values", "factors")).alias("value_no", "v")).select(
-        "src", "row_id", "row_no", "value_no", "kpi", even_company(F.col("company")).alias("company"), "report_year", F.col("v.values").alias("value"), "unit", F.col("v.factors").alias("factor"), "basis"
+        "src", "row_id", "row_no", "value_no", "kpi", "company", "report_year", F.col("v.values").alias("value"), "unit", F.col("v.factors").alias("factor"), "basis"
     )
     positive = each.where("value > 0")
     log_value = F.log10("value")
@@ -342,7 +350,7 @@ def convert(found: DataFrame, known: Registry) -> DataFrame:
         offsets = [round(math.log10(x), 6) for c, x in known.factors.values() if c == known.canonical.get(kpi)]
         mixtures[kpi] = fit_mixture(list(zip(at[is_known], f[is_known], n[is_known], strict=True)), list(zip(at[~is_known], n[~is_known], strict=True)), offsets)
     columns = ["src", "row_id", "row_no", "value_no", "kpi", "value", "unit"]
-    guessed = written(_assigned(each.where(guessable), stated, mixtures).select(*columns, "factor", F.lit("posterior").alias("basis"), "probability"))
+    guessed = written(_assigned(written(each.where(guessable)), stated, mixtures).select(*columns, "factor", F.lit("posterior").alias("basis"), "probability"))
     rest = each.where(~guessable).select(*columns, "factor", "basis", F.when(F.col("factor").isNotNull(), F.lit(1.0)).alias("probability"))
     return rest.unionByName(guessed).select(*columns, "factor", (F.col("value") * F.col("factor")).alias("canonical_value"), "basis", "probability", (F.coalesce("probability", F.lit(0.0)) < SURE).alias("uncertain"))
 
@@ -350,11 +358,12 @@ def convert(found: DataFrame, known: Registry) -> DataFrame:
 def _assigned(asked: DataFrame, stated: DataFrame, mixtures: dict[str, Mixture]) -> DataFrame:
     """`asked` with the likeliest factor and its probability, from `mixtures` and the `stated` values of the same company, year and indicator.
 
-    Equal values of a group are judged once. Values without company or year are judged by
+    How often values repeat is estimated from all groups with a value to judge. Equal values of a group are judged once. Values without company or year are judged by
     the mixture of their indicator alone.
     """
     group = ["company", "report_year", "kpi"]
-    cells = written(stated.where("company is not null and report_year is not null").groupBy(*group, log_cell(F.col("value") * F.col("factor")).alias("cell")).agg(F.count(F.lit(1)).alias("n")))
+    groups = small(asked.select(*group).distinct(), BROADCAST_GROUPS)
+    cells = written(stated.join(groups, group, "left_semi").groupBy(*group, log_cell(F.col("value") * F.col("factor")).alias("cell")).agg(F.count(F.lit(1)).alias("n")))
     repeats = repeating_share(cells, group)
     totals = cells.groupBy(*group).agg(F.sum("n").alias("total"))
     share = asked.sparkSession.sparkContext.broadcast(mixtures)
