@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ BROADCAST_GROUPS = 500_000
 BROKEN = re.compile(r"(?<=\w)[-‐‑¬\xad][ \t]*\n[ \t]*(?=\w)")
 BRACKETED = re.compile(r"[(\[{]([^()\[\]{}]*(?:\([^()]*\)[^()\[\]{}]*)*)[)\]}]")
 RESULT = "src string, row_id long, row_no int, kpi string, company string, report_year int, values array<double>, unit string, factors array<double>, basis string"
+RESULT_TYPES = {"src": pa.string(), "row_id": pa.int64(), "row_no": pa.int32(), "kpi": pa.string(), "company": pa.string(), "report_year": pa.int32(), "values": pa.list_(pa.float64()), "unit": pa.string(), "factors": pa.list_(pa.float64()), "basis": pa.string()}
 
 
 @dataclass(frozen=True, eq=False)
@@ -114,14 +116,37 @@ def judge(value: float | None, unit: str | None, text: str | None, kpi: str | No
     return (unit, own_factor, "stated") if own else (None, None, "unknown")
 
 
-def _records(src: str, known: Registry, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _listed(column: pa.Array) -> list:
+    return column.to_pandas().tolist()
+
+
+def _one_each(values: list[float | None]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(range(len(values) + 1), pa.int32()), pa.array(values, pa.float64()))
+
+
+def _result(batch: pa.RecordBatch, at: pa.Array | None, **own: pa.Array) -> pa.RecordBatch:
+    """A batch of RESULT: columns of the rows `at` of `batch`, or of all, and what is given."""
+    columns = []
+    for name, kind in RESULT_TYPES.items():
+        column = own.get(name)
+        if column is None:
+            column = batch.column("id" if name == "row_id" else name).cast(kind)
+            column = column if at is None else column.take(at)
+        columns.append(column)
+    return pa.RecordBatch.from_arrays(columns, list(RESULT_TYPES))
+
+
+def _records(src: str, known: Registry, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for i, kpi, company, year, value, unit, text in batch.itertuples(index=False, name=None):
-            value = None if value is None or math.isnan(value) else float(value)
+        values = [None if v != v else v for v in batch.column("value").to_numpy(zero_copy_only=False).tolist()]
+        units, factors, bases = [], [], []
+        for value, unit, text, kpi in zip(values, _listed(batch.column("unit")), _listed(batch.column("text")), _listed(batch.column("kpi")), strict=True):
             spelled, factor, basis = judge(value, unit, text, kpi, known)
-            rows.append((src, i, -1, kpi, company, year, [value], spelled, [factor], basis))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+            units.append(spelled)
+            factors.append(factor)
+            bases.append(basis)
+        n = len(values)
+        yield _result(batch, None, src=pa.array([src] * n, pa.string()), row_no=pa.array([-1] * n, pa.int32()), values=_one_each(values), unit=pa.array(units, pa.string()), factors=_one_each(factors), basis=pa.array(bases, pa.string()))
 
 
 @lru_cache(CACHED)
@@ -173,7 +198,7 @@ def table_quantities(headers: list[str], rows: list[list[str]], known: Registry)
     found = []
     for no, row in enumerate(rows):
         cells = [c or "" for c in row or []]
-        if not any(c.strip() for c in cells):
+        if not "".join(cells).strip():
             continue
         label = _folded_label(cells[0])
         named = known.indicator(label)
@@ -225,13 +250,27 @@ def table_quantities(headers: list[str], rows: list[list[str]], known: Registry)
     return found
 
 
-def _tables(known: Registry, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tables(known: Registry, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for i, company, year, headers, body in batch.itertuples(index=False, name=None):
-            for no, kpi, values, unit, factors, basis in table_quantities(list(headers) if headers is not None else [], [list(r) if r is not None else [] for r in body] if body is not None else [], known):
-                rows.append(("report_tables", i, no, kpi, company, year, values, unit, factors, basis))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+        at, rows = [], []
+        for i, (headers, body) in enumerate(zip(batch.column("headers").to_pandas(), batch.column("rows").to_pandas(), strict=True)):
+            if body is None:
+                continue
+            own = table_quantities(headers.tolist() if headers is not None else [], [r.tolist() if r is not None else [] for r in body], known)
+            rows += own
+            at += [i] * len(own)
+        no, kpi, values, unit, factors, basis = zip(*rows, strict=True) if rows else ((),) * 6
+        yield _result(
+            batch,
+            pa.array(at, pa.int64()),
+            src=pa.array(["report_tables"] * len(rows), pa.string()),
+            row_no=pa.array(no, pa.int32()),
+            kpi=pa.array(kpi, pa.string()),
+            values=pa.array(values, pa.list_(pa.float64())),
+            unit=pa.array(unit, pa.string()),
+            factors=pa.array(factors, pa.list_(pa.float64())),
+            basis=pa.array(basis, pa.string()),
+        )
 
 
 def quantities(extractions: DataFrame, gold_labels: DataFrame, report_tables: DataFrame, known: Registry) -> DataFrame:
@@ -242,9 +281,9 @@ def quantities(extractions: DataFrame, gold_labels: DataFrame, report_tables: Da
     """
     share = extractions.sparkSession.sparkContext.broadcast(known)
     part = lambda df, key, text: df.select(F.col(key).alias("id"), "kpi", "company", "report_year", F.col("value").cast("double").alias("value"), "unit", F.col(text).alias("text"))
-    a = part(extractions, "extraction_id", "source_snippet").mapInPandas(lambda it: _records("extractions", share.value, it), RESULT)
-    b = part(gold_labels, "label_id", "notes").mapInPandas(lambda it: _records("gold_labels", share.value, it), RESULT)
-    c = report_tables.select(F.col("table_id").alias("id"), "company", "report_year", "headers", "rows").mapInPandas(lambda it: _tables(share.value, it), RESULT)
+    a = part(extractions, "extraction_id", "source_snippet").mapInArrow(lambda it: _records("extractions", share.value, it), RESULT)
+    b = part(gold_labels, "label_id", "notes").mapInArrow(lambda it: _records("gold_labels", share.value, it), RESULT)
+    c = report_tables.select(F.col("table_id").alias("id"), "company", "report_year", "headers", "rows").mapInArrow(lambda it: _tables(share.value, it), RESULT)
     return a.unionAll(b).unionAll(c)
 
 
