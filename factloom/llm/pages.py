@@ -1,8 +1,8 @@
 """Noise in text from scanned pages: finding it, and repairing text into continuous paragraphs.
 
 Lines are labelled by a hidden Markov model over layout features, fitted by Viterbi
-training on a bounded sample: title, header, number (of the page), heading, figures, body;
-blank lines are breaks. Broken words and misread characters are told from sound ones by
+training on a bounded sample: title, header, number (of the page), heading, figures, body,
+break; a blank line is a break, or body where the paragraph runs on over it. Broken words and misread characters are told from sound ones by
 the words of the whole corpus: which substitutions are misreadings is learned from rare
 words that one substitution turns into a frequent one.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Container, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,13 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import reliable_checkpoint
+from factloom.llm.bitset import BitSet, bit_set
+from factloom.session import reliable_checkpoint, written
 
-STATES = ("title", "header", "number", "heading", "figures", "body")
-KINDS = ("name", "name_no", "number_form", "sequence", "integer", "figures", "mark", "short", "text")
+STATES = ("title", "header", "number", "heading", "figures", "body", "break")
+KINDS = ("name", "name_no", "number_form", "sequence", "integer", "figures", "mark", "short", "text", "gap", "open_gap")
 EDGES = ("first", "top", "middle", "bottom")
 SAMPLE_TEXTS = 4_000
-TITLES = 5_000
+LONGEST_WORD = 64
 IMPOSSIBLE = 1e-6
 FREQUENT, RATIO, SUPPORT, PURITY = 20, 20, 3, 0.02
 KNOWN_WORDS, KNOWN_WINDOWS = 50_000, 200_000
@@ -46,6 +47,7 @@ MARK_AT = re.compile(r"[-‐‑¬\xad][ \t]*\n")
 MARKS = re.compile(r"(?<=\w)[-‐‑¬\xad][ \t]*\n[ \t]*(?=\w)")
 WORD = re.compile(r"[^\s|,;:!?…()\[\]{}\"“”„«»‘’.·/=+<>—–]+")
 UNSPACED = re.compile("[⺀-〿぀-ヿ㐀-鿿豈-﫿฀-๿]")
+WIDE = "[\u2e80-\u9fff\uf900-\ufaff\ufe30-\ufe4f\uff00-\uffef]"
 NUMBER_WORD = re.compile(r"[\d.,%°³²-]*")
 INNER = "\x01"
 
@@ -71,30 +73,28 @@ class LineModel:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
-    titles: tuple[str, ...] = ()
+    titles: Container[str] = ()
 
 
-def prior_model(titles: tuple[str, ...] = ()) -> LineModel:
+def prior_model(titles: Container[str] = ()) -> LineModel:
     """The model before training: likely (+), possible (.) and all but impossible ( ) pairs of state and feature."""
     weight = {"+": 8.0, ".": 1.0, " ": IMPOSSIBLE}
     # Columns: KINDS. Rows: STATES.
-    by_kind = ("+        ", "++       ", "  ++.    ", "      ++.", "    .+.  ", "       ++")
+    by_kind = ("+          ", "++         ", "  ++.      ", "      ++.  ", "    .+.    ", "       ++ +", "         +.")
     # Columns: EDGES. Rows: STATES.
-    by_edge = ("+   ", ".+ +", ".+ +", "++++", "..++", "++++")
+    by_edge = ("+   ", ".+ +", ".+ +", "++++", "..++", "++++", "++++")
     # Columns: following state.
-    moves = ("+..+.+", " .+..+", " +...+", " ..+.+", " ...++", " ....+")
+    moves = ("+..+.++", " .+..++", " +...++", " ..+.++", " ...+++", " ....++", ".++++++")
     table = lambda rows: np.array([[weight[c] for c in r] for r in rows])
     kind, edge, move = table(by_kind), table(by_edge), table(moves)
     joint = kind[:, :, None] * edge[:, None, :]
     joint /= joint.sum(axis=(1, 2), keepdims=True)
-    start = np.array([3.0, 3.0, 2.0, 3.0, 0.2, 4.0])
+    start = np.array([3.0, 3.0, 2.0, 3.0, 0.2, 4.0, 0.2])
     return LineModel(np.log(start / start.sum()), np.log(move / move.sum(axis=1, keepdims=True)), np.log(joint.reshape(len(STATES), -1)), titles)
 
 
-def name_parts(line: str, company: str, titles: tuple[str, ...]) -> tuple[bool, bool, bool, str]:
-    """Whether a short line consists of the company's name and/or a report title, which of both, and what number is left over."""
-    if len(line) > 110:
-        return False, False, False, ""
+def name_parts(line: str, company: str, titles: Container[str]) -> tuple[bool, bool, bool, str]:
+    """Whether a line consists of the company's name and/or a report title, which of both, and what number is left over."""
     bare = YEARS.sub(" ", COMPANY_FORM.sub(" ", line))
     number = ""
     if m := re.match(r"\s*(\d{1,4}|[ivxlc]{1,6})\s{2,}|.*?[\s](\d{1,4}|[ivxlc]{1,6})\s*$", bare):
@@ -110,11 +110,35 @@ def name_parts(line: str, company: str, titles: tuple[str, ...]) -> tuple[bool,
     return (has_company and not rest) or has_title or parted, has_company, has_title or parted, number
 
 
-def features(lines: list[str], company: str, titles: tuple[str, ...], first_page: bool, page_no: int | None, offset: int | None) -> list[int]:
-    """The observation of each non-blank line: kind and edge."""
+def features(lines: list[str], company: str, titles: Container[str], first_page: bool, page_no: int | None, offset: int | None) -> list[int]:
+    """The observation of each line: kind and edge; neighbouring blank lines, of which only one must be given, have one."""
+    filled = [x for x in lines if x.strip()]
+    observed = iter(_observed(filled, company, titles, first_page, page_no, offset))
+    at = -1
+    found = []
+    for line in lines:
+        if line.strip():
+            found.append(next(observed))
+            at += 1
+        else:
+            above, below = filled[at].rstrip() if at >= 0 else "", filled[at + 1].lstrip() if at + 1 < len(filled) else ""
+            runs_on = bool(above and below) and below[0].islower() and (above[-1].isalnum() or above[-1] in ",;-‐‑¬\xad")
+            found.append(KINDS.index("open_gap" if runs_on else "gap") * len(EDGES) + EDGES.index("middle"))
+    return found
+
+
+def without_repeated_blanks(lines: list[str]) -> list[str]:
+    """`lines` with one blank line where several follow each other, and none at either end."""
+    kept: list[str] = []
+    for line in lines:
+        if line.strip() or kept and kept[-1].strip():
+            kept.append(line)
+    return kept[:-1] if kept and not kept[-1].strip() else kept
+
+
+def _observed(lines: list[str], company: str, known: Container[str], first_page: bool, page_no: int | None, offset: int | None) -> list[int]:
     n = len(lines)
     company = skeleton(company.replace("_", " "))
-    known = frozenset(titles) if len(titles) > 50 else titles
     found = []
     for i, line in enumerate(lines):
         s = line.strip()
@@ -190,30 +214,34 @@ class _Paths:
 _paths = _Paths()
 
 
-def fit(sequences: list[list[int]], model: LineModel, rounds: int = 3, strength: float = 50.0) -> LineModel:
-    """Viterbi training: counts along the best paths, added to the prior with `strength` pseudo-counts per state."""
-    prior = model
+def path_counts(sequences: list[tuple[list[int], float]], model: LineModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, moves and emissions along the best paths of `sequences`, each with its number."""
+    start, move, emit = np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit)
+    for o, n in sequences:
+        path = viterbi(o, model)
+        if path:
+            start[path[0]] += n
+            np.add.at(emit, (path, o), n)
+            np.add.at(move, (path[:-1], path[1:]), n)
+    return start, move, emit
+
+
+def fit(counted: Callable[[LineModel], tuple[np.ndarray, np.ndarray, np.ndarray]], prior: LineModel, rounds: int = 3, strength: float = 50.0) -> LineModel:
+    """Viterbi training: what `counted` gives along the best paths, as far as the prior holds it possible, added to it with `strength` pseudo-counts per state."""
     possible_moves = prior.move > np.log(1e-4)
     possible = prior.emit > np.log(1e-5)
+    model = prior
     for _ in range(rounds):
-        start = strength * np.exp(prior.start)
-        move = strength * np.exp(prior.move)
-        emit = strength * np.exp(prior.emit)
-        for o in sequences:
-            path = viterbi(o, model)
-            if path:
-                start[path[0]] += 1
-                np.add.at(emit, (path, o), possible[path, o])
-                np.add.at(move, (path[:-1], path[1:]), possible_moves[path[:-1], path[1:]])
+        starts, moves, emissions = counted(model)
+        start = strength * np.exp(prior.start) + starts
+        move = strength * np.exp(prior.move) + moves * possible_moves
+        emit = strength * np.exp(prior.emit) + emissions * possible
         model = LineModel(np.log(start / start.sum()), np.log(move / move.sum(axis=1, keepdims=True)), np.log(emit / emit.sum(axis=1, keepdims=True)), prior.titles)
     return model
 
 
-def learn_titles(pages: DataFrame) -> tuple[str, ...]:
-    """Skeletons of titles: what stands under the company's name at the top of first pages, without years.
-
-    Those of at least two reports, and of these the 5,000 most frequent.
-    """
+def learn_titles(pages: DataFrame) -> BitSet:
+    """Skeletons of titles: what stands under the company's name at the top of first pages of at least two reports, without years."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -225,8 +253,7 @@ def learn_titles(pages: DataFrame) -> tuple[str, ...]:
             yield pd.DataFrame(rows, columns=["title"])
 
     first = pages.where("page_pos = 0 and text is not null and company is not null").select("text", "company")
-    rows = first.mapInPandas(run, "title string").where("title != ''").groupBy("title").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").orderBy(F.desc("n"), "title").limit(TITLES).collect()
-    return tuple(r["title"] for r in rows)
+    return bit_set(first.mapInPandas(run, "title string").where("title != ''").groupBy("title").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"), "title")
 
 
 def page_offsets(pages: DataFrame) -> DataFrame:
@@ -254,16 +281,24 @@ def numbered(texts: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def label_lines(text: str, company: str | None, first_page: bool, page_no: int | None, offset: int | None, model: LineModel) -> list[tuple[str, str]]:
-    """(label, line) of every line; blank lines are labelled break."""
+    """(label, line) of every line; blank lines are labelled break, or body where a paragraph runs on."""
     lines = text.split("\n")
-    filled = [x for x in lines if x.strip()]
     company = re.sub(r"[-_ ]+", " ", company or "").strip()
-    observed = features(filled, company, model.titles, first_page, page_no, offset)
-    states = iter(viterbi(observed, model))
-    return [(STATES[next(states)], x) if x.strip() else ("break", x) for x in lines]
-
-
-def noise_of_lines(labelled: list[tuple[str, str]], company: str | None, titles: tuple[str, ...]) -> set[str]:
+    kept = without_repeated_blanks(lines)
+    states = [STATES[k] for k in viterbi(features(kept, company, model.titles, first_page, page_no, offset), model)]
+    labelled, at = [], 0
+    for line in lines:
+        if line.strip():
+            # A kept blank line before it was passed by the blank ones above.
+            at += at < len(kept) and not kept[at].strip()
+            labelled.append((states[at], line))
+            at += 1
+        else:
+            labelled.append((states[at] if 0 < at < len(kept) and not kept[at].strip() else "break", line))
+    return labelled
+
+
+def noise_of_lines(labelled: list[tuple[str, str]], company: str | None, titles: Container[str]) -> set[str]:
     """header and page_number, if lines so labelled say so."""
     kinds = set()
     own = skeleton(re.sub(r"[-_ ]+", " ", company or "").strip())
@@ -277,11 +312,23 @@ def noise_of_lines(labelled: list[tuple[str, str]], company: str | None, titles:
     return kinds
 
 
+def without_broken(text: str) -> str:
+    """`text` without the words that a mark at the end of a line breaks, so that these don't speak for themselves."""
+    kept, done = [], 0
+    for m in MARKS.finditer(text):
+        a, b = m.start(), m.end()
+        while a > done and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        kept.append(text[done:a])
+        done = max(done, b)
+    return "".join([*kept, text[done:]]) if done else text
+
+
 def words_of(text: str) -> list[str]:
-    """Lower-case words of a text, broken ones joined."""
-    if "\n" in text:
-        text = MARKS.sub("", text)
-    return WORD.findall(text.lower())
+    """Lower-case words of a text, broken ones left out."""
+    return WORD.findall((without_broken(text) if "\n" in text else text).lower())
 
 
 def windows_of(text: str) -> list[str]:
@@ -297,7 +344,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     windows: Counter[str] = Counter()
 
     def flush() -> pd.DataFrame:
-        rows = [(w, False, n) for w, n in words.items() if 2 <= len(w) <= 40 and not UNSPACED.search(w) and not NUMBER_WORD.fullmatch(w)] + [(w, True, n) for w, n in windows.items()]
+        rows = [(w, False, n) for w, n in words.items() if 2 <= len(w) <= LONGEST_WORD and not UNSPACED.search(w) and not NUMBER_WORD.fullmatch(w)] + [(w, True, n) for w, n in windows.items()]
         words.clear()
         windows.clear()
         return pd.DataFrame(rows, columns=["word", "unspaced", "n"])
@@ -327,23 +374,34 @@ def _patterns(words: DataFrame) -> DataFrame:
 
 
 def misreadings(words: DataFrame) -> DataFrame:
-    """(word, unspaced, meant): rare words that a learned substitution turns into one at least 20 times as frequent.
-
-    A substitution of one or two characters is learned if at least three rare words (two
-    windows, or one word if it replaces a sign or a digit) are turned by it into such words, and a fiftieth of all words that hold what
-    it replaces. Ties go to the most frequent word meant.
+    """(word, unspaced, meant): misread words and what they mean.
+
+    A word is misread if a learned substitution of one or two characters turns it into one
+    at least 20 times as frequent, or one of a sign or digit between letters into one that
+    is at least as frequent and seen twice. A substitution is learned if at least three
+    rare words (two windows, or one word if it replaces a single sign or digit) are turned
+    by it into such frequent ones, and a fiftieth of all words that hold what it replaces.
+    Raised and lowered digits are notation, and characters merely lost or added no
+    misreading. Of several meanings the one by the best supported substitution counts,
+    then the most frequent.
     """
-    least = F.when(F.col("unspaced"), F.lit(2)).when(F.col("part").rlike(r"[^\p{L}]"), F.lit(1)).otherwise(F.lit(SUPPORT))
+    least = F.when(F.col("unspaced"), F.lit(2)).when((F.length("part") == 1) & F.col("part").rlike(r"[^\p{L}]"), F.lit(1)).otherwise(F.lit(SUPPORT))
     frequent = _patterns(words.where(F.col("n") >= FREQUENT)).where("unspaced or length(word) > 2").select("pattern", "unspaced", F.col("word").alias("meant"), F.col("n").alias("m"), F.col("part").alias("true"))
     cut = _patterns(words)
-    hits = cut.join(frequent, ["pattern", "unspaced"]).where((F.col("m") >= RATIO * F.col("n")) & (F.col("part") != F.col("true")))
     letters = r"^[^\s\-'‐‑¬\x{ad}]+$"
-    hits = hits.where(F.col("part").rlike(letters) & F.col("true").rlike(letters) & F.col("true").rlike(r"\p{L}")).select("word", "unspaced", "n", "meant", "m", "part", "true").distinct()
-    hits = reliable_checkpoint(hits)
+    sound = F.col("part").rlike(letters) & ~F.col("part").rlike(r"\p{No}") & F.col("true").rlike(letters) & F.col("true").rlike(r"\p{L}") & ~F.contains("part", "true") & ~F.contains("true", "part")
+    hits = cut.join(frequent, ["pattern", "unspaced"]).where((F.col("m") >= RATIO * F.col("n")) & sound).select("word", "unspaced", "n", "meant", "m", "part", "true").distinct()
+    hits = written(hits)
     support = hits.groupBy("unspaced", "part", "true").agg(F.countDistinct("word").alias("k"))
     held = cut.join(support.select("unspaced", "part").distinct(), ["unspaced", "part"], "left_semi").groupBy("unspaced", "part").agg(F.countDistinct("word").alias("held"))
-    learned = support.join(held, ["unspaced", "part"]).where((F.col("k") >= least) & (F.col("unspaced") | F.col("part").rlike(r"[^\p{L}]") | (F.col("k") >= PURITY * F.col("held")))).select("unspaced", "part", "true")
-    best = hits.join(learned, ["unspaced", "part", "true"]).groupBy("word", "unspaced").agg(F.max(F.struct("m", "meant")).alias("b"))
+    pure = F.col("unspaced") | F.col("part").rlike(r"[^\p{L}]") | (F.col("k") >= PURITY * F.col("held"))
+    learned = written(support.join(held, ["unspaced", "part"]).where((F.col("k") >= least) & pure).select("unspaced", "part", "true", "k"))
+    signs = learned.where((F.col("k") >= SUPPORT) & ~F.col("unspaced") & (F.length("part") == 1) & F.col("part").rlike(r"[^\p{L}]")).select("part", "true", "k")
+    held_signs = words.where(~F.col("unspaced") & F.col("word").rlike(r"\p{L}[^\p{L}]\p{L}"))
+    mended = _patterns(held_signs).where(F.col("pattern").rlike(r"\p{L}\x01\p{L}")).join(signs, "part").select("word", "unspaced", "n", F.replace("pattern", F.lit(INNER), F.col("true")).alias("meant"), "k")
+    mended = mended.join(words.where(~F.col("unspaced") & (F.col("n") > 1)).select(F.col("word").alias("meant"), F.col("n").alias("m")), "meant").where("m >= n").select("word", "unspaced", "k", "m", "meant")
+    every = hits.join(learned, ["unspaced", "part", "true"]).select("word", "unspaced", "k", "m", "meant").unionByName(mended)
+    best = every.groupBy("word", "unspaced").agg(F.max(F.struct("k", "m", "meant")).alias("b"))
     return best.select("word", "unspaced", F.col("b.meant").alias("meant"))
 
 
@@ -351,20 +409,23 @@ def broken_forms(text: str) -> set[tuple[str, str]]:
     """`breaks` of every word of `text` that a mark at the end of a line breaks."""
     found = set()
     for mark in MARK_AT.finditer(text):
-        least = max(0, mark.start() - 60)
-        begin = max(text.rfind(" ", least, mark.start()), text.rfind("\n", least, mark.start()), least - 1) + 1
-        if m := BREAK.search(text, begin, mark.end() + 60):
+        at = mark.start()
+        while at and (text[at - 1].isalnum() or text[at - 1] in "_'’-"):
+            at -= 1
+        while at < mark.start() and text[at] in "'’-":
+            at += 1
+        if m := BREAK.match(text, at):
             found.add(breaks(m))
     return found
 
 
 def evidence(texts: DataFrame, model: LineModel, known: tuple[frozenset[str], frozenset[str]]) -> DataFrame:
-    """(src, row_id, what, a, b): lines found, breaks (joined and hyphenated skeleton) and words that aren't `known`."""
+    """(src, row_id, what, a, b): lines found, breaks (both parts, and whether the mark may be of the word) and words that aren't `known`."""
     shared = texts.sparkSession.sparkContext.broadcast((model, known))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lines_model, (words, windows) = shared.value
-        titles = frozenset(lines_model.titles)
+        titles = lines_model.titles
         for batch in batches:
             rows: list[tuple] = []
             for src, i, company, first, no, offset, text in batch.itertuples(index=False, name=None):
@@ -374,7 +435,7 @@ def evidence(texts: DataFrame, model: LineModel, known: tuple[frozenset[str], fr
                     rows += [(src, i, "break", a, b) for a, b in broken_forms(text)]
                     text = MARKS.sub("", text)
                 for w in set(WORD.findall(text.lower())) - words:
-                    if not w.isdigit() and len(w) <= 40 and not NUMBER_WORD.fullmatch(w):
+                    if not w.isdigit() and len(w) <= LONGEST_WORD and not NUMBER_WORD.fullmatch(w):
                         rows.append((src, i, "word", w, None))
                 if not text.isascii():
                     rows += [(src, i, "window", w, None) for w in set(windows_of(text)) - windows]
@@ -384,18 +445,47 @@ def evidence(texts: DataFrame, model: LineModel, known: tuple[frozenset[str], fr
 
 
 def breaks(m: re.Match[str]) -> tuple[str, str]:
-    """Of a broken word its joined form, and its hyphenated one, or "" if the mark is never part of a word."""
-    a, mark, b = m[1].lower(), m[2], re.sub(r"['’].*", "", m[3].lower())
-    return a + b, f"{a}-{b}" if mark in "-‑" else ""
+    """Of a broken word its parts, U+0001 between them, and "-" if the mark may be part of a word, else ""."""
+    return m[1].lower() + INNER + re.sub(r"['’].*", "", m[3].lower()), "-" if m[2] in "-‑" else ""
 
 
 def learn(pages: DataFrame, texts: DataFrame, offsets: DataFrame) -> LineModel:
-    """The line model, fitted on at most 4,000 texts of several lines, those with the least hashes."""
-    model = prior_model(learn_titles(pages))
-    chosen = texts.where("instr(text, '\n') > 0").select("src", "row_id").orderBy(F.xxhash64("src", "row_id"), "src", "row_id").limit(SAMPLE_TEXTS)
-    sample = numbered(texts.join(F.broadcast(chosen.distinct()), ["src", "row_id"], "left_semi"), offsets).limit(2 * SAMPLE_TEXTS).collect()
-    sequences = [features([x for x in r["text"].split("\n") if x.strip()], re.sub(r"[-_ ]+", " ", r["company"] or "").strip(), model.titles, r["first_page"], r["page_no"], r["offset"]) for r in sample]
-    return fit(sequences, model)
+    """The line model, fitted on at most 4,000 texts of several lines, those with the least hashes.
+
+    Observations and the counts of each round of training are made where the texts are;
+    only counts, as many as the model has numbers, come to the driver.
+    """
+    titles = learn_titles(pages)
+    prior = prior_model(titles)
+    chosen = texts.where("instr(text, '\n') > 0").select("src", "row_id").distinct().orderBy(F.xxhash64("src", "row_id"), "src", "row_id").limit(SAMPLE_TEXTS)
+    sample = numbered(texts.join(F.broadcast(chosen), ["src", "row_id"], "left_semi"), offsets)
+    shared = texts.sparkSession.sparkContext.broadcast(titles)
+
+    def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for company, first, no, offset, text in batch.itertuples(index=False, name=None):
+                named = re.sub(r"[-_ ]+", " ", company or "").strip()
+                rows.append((features(without_repeated_blanks(text.split("\n")), named, shared.value, first, None if pd.isna(no) else int(no), None if pd.isna(offset) else int(offset)),))
+            yield pd.DataFrame(rows, columns=["o"])
+
+    sequences = written(sample.select("company", "first_page", "page_no", "offset", "text").mapInPandas(observe, "o array<int>").groupBy("o").agg(F.count(F.lit(1)).alias("n")))
+
+    def counted(model: LineModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for batch in batches:
+                own = path_counts([(list(o), n) for o, n in zip(batch["o"], batch["n"], strict=True)], model)
+                total = own if total is None else tuple(a + b for a, b in zip(total, own, strict=True))
+            for table, values in enumerate(total or ()):
+                yield pd.DataFrame({"t": table, "i": np.arange(values.size), "v": values.ravel()})
+
+        start, move, emit = np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit)
+        for r in sequences.mapInPandas(run, "t int, i int, v double").groupBy("t", "i").agg(F.sum("v").alias("v")).collect():
+            (start, move, emit)[r["t"]].ravel()[r["i"]] = r["v"]
+        return start, move, emit
+
+    return fit(counted, prior)
 
 
 @dataclass(frozen=True)
@@ -422,13 +512,13 @@ def examine(pages: DataFrame, snippets: DataFrame) -> Findings:
     """Learns from all pages and snippets and gathers the evidence in them."""
     texts, offsets = texts_of(pages, snippets), reliable_checkpoint(page_offsets(pages))
     model = learn(pages, texts, offsets)
-    words = reliable_checkpoint(vocabulary(texts))
-    wrong = reliable_checkpoint(misreadings(words))
+    words = written(vocabulary(texts))
+    wrong = written(misreadings(words))
     sound = words.join(wrong, ["word", "unspaced"], "left_anti").where(F.col("n") >= FREQUENT)
     top = lambda unspaced, most: frozenset(r["word"] for r in sound.where(F.col("unspaced") == unspaced).orderBy(F.desc("n"), "word").limit(most).select("word").collect())
     known = (top(False, KNOWN_WORDS), top(True, KNOWN_WINDOWS))
     placed = numbered(texts, offsets)
-    return Findings(model, placed, words, wrong, reliable_checkpoint(evidence(placed, model, known)))
+    return Findings(model, placed, words, wrong, written(evidence(placed, model, known)))
 
 
 def find_noise(pages: DataFrame, snippets: DataFrame) -> DataFrame:
@@ -447,7 +537,7 @@ def repaired_text(labelled: list[tuple[str, str]], broken: set[str], meant: dict
     blocks: list[list[str]] = [[]]
     last = ""
     for label, line in labelled:
-        if label in ("header", "number"):
+        if label in ("header", "number") or not line.strip() and label != "break":
             continue
         if label == "break" or label in ("title", "heading", "figures") or last in ("title", "heading", "figures") and label != last:
             blocks.append([])
@@ -456,7 +546,7 @@ def repaired_text(labelled: list[tuple[str, str]], broken: set[str], meant: dict
         last = label
 
     def mended(m: re.Match[str]) -> str:
-        return m[1] + m[3] if breaks(m)[0] in broken else m[1] + m[2] + m[3]
+        return m[1] + ("" if breaks(m)[0] in broken else m[2]) + m[3]
 
     def reread(m: re.Match[str]) -> str:
         true = meant.get(m[0].lower())
@@ -467,7 +557,7 @@ def repaired_text(labelled: list[tuple[str, str]], broken: set[str], meant: dict
     paragraphs = []
     for lines in blocks:
         text = BREAK.sub(mended, "\n".join(lines))
-        text = re.sub(r"(?<=[⺀-鿿])\n(?=[⺀-鿿])", "", text).replace("\n", " ")
+        text = re.sub(f"(?<={WIDE})\n(?={WIDE})", "", text).replace("\n", " ")
         text = WORD.sub(reread, text) if meant else text
         for wrong, true in windows.items():
             text = re.sub(re.escape(wrong).replace("0", r"(\d+)"), lambda m, w=wrong, t=true: m[0].replace(w[2], t[2]), text)
@@ -501,10 +591,19 @@ def repair(pages: DataFrame, snippets: DataFrame) -> DataFrame:
 
 
 def broken_words(found: DataFrame, words: DataFrame) -> DataFrame:
-    """The breaks of `found` whose mark isn't part of the word: the joined form is at least as frequent as the hyphenated one."""
+    """The breaks of `found` whose mark isn't part of the word.
+
+    The joined form must be at least as frequent as the hyphenated one, both counted where
+    no line ends. Where neither is seen, the mark is taken for part of a compound if both
+    its parts are words seen at least 20 times.
+    """
     counts = words.where("not unspaced").select("word", "n")
     marks = found.where("what = 'break'").select("src", "row_id", "a", "b")
-    forms = marks.select("a", "b").distinct()
-    judged = forms.join(counts.select(F.col("word").alias("a"), F.col("n").alias("joined")), "a", "left").join(counts.select(F.col("word").alias("b"), F.col("n").alias("hyphenated")), "b", "left")
-    parted = judged.where((F.col("b") == "") | (F.coalesce("hyphenated", F.lit(0)) <= F.coalesce("joined", F.lit(0)))).select("a", "b")
-    return marks.join(parted, ["a", "b"], "left_semi")
+    forms = marks.select("a", "b").distinct().withColumns(
+        {"joined": F.replace("a", F.lit(INNER), F.lit("")), "hyphenated": F.replace("a", F.lit(INNER), F.lit("-")), "before": F.substring_index("a", INNER, 1), "after": F.substring_index("a", INNER, -1)}
+    )
+    asked = forms.select("a", "b", F.explode(F.array(*[F.struct(F.lit(c).alias("form"), F.col(c).alias("word")) for c in ("joined", "hyphenated", "before", "after")])).alias("f")).select("a", "b", "f.*")
+    seen = asked.join(counts, "word", "left").groupBy("a", "b").agg(*[F.coalesce(F.max(F.when(F.col("form") == c, F.col("n"))), F.lit(0)).alias(c) for c in ("joined", "hyphenated", "before", "after")])
+    unseen = (F.col("joined") == 0) & (F.col("hyphenated") == 0)
+    compound = F.when(unseen, (F.col("before") >= FREQUENT) & (F.col("after") >= FREQUENT)).otherwise(F.col("hyphenated") > F.col("joined"))
+    return marks.join(seen.where((F.col("b") == "") | ~compound).select("a", "b"), ["a", "b"], "left_semi")

@@ -14,16 +14,17 @@ several scripts each stretch of lines is handled by its own script.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.bitset import BitSet, bit_set
+from factloom.session import written
+
 # Abbreviations by what their full stop means.
 # Never the end of a sentence.
 NEVER = """
@@ -63,7 +64,6 @@ THAI = re.compile("[฀-๿]")
 GAP = re.compile(r"[ \xa0\n]+")
 WORDS = re.compile(r"[^\W\d_฀-๿]{2,}")
 BEGINNING, ENDING = 5, 4
-EDGE_SLOTS = 1 << 22
 EDGE_SUPPORT, EDGE_SHARE = 3, 200
 ROMAN = {c: n for c, n in zip("ivxlc", (1, 5, 10, 50, 100), strict=True)}
 
@@ -327,23 +327,12 @@ def sentence_ends(text: str | None) -> list[int]:
     return ends
 
 
-@dataclass(frozen=True)
-class Edges:
-    """A set of edges as a bit table of fixed size, so it is bounded whatever the corpus; with 100,000 edges one in 40 others looks held."""
-
-    bits: bytes = bytes(EDGE_SLOTS // 8)
-
-    def __contains__(self, edge: str) -> bool:
-        at = zlib.crc32(edge.encode("utf-8", "surrogatepass")) % EDGE_SLOTS
-        return bool(self.bits[at >> 3] >> (at & 7) & 1)
-
-
 @dataclass(frozen=True)
 class ThaiModel:
     """Beginnings and endings of Thai sentences, learned from paragraphs."""
 
-    beginnings: Edges = field(default_factory=Edges)
-    endings: Edges = field(default_factory=Edges)
+    beginnings: BitSet = field(default_factory=BitSet)
+    endings: BitSet = field(default_factory=BitSet)
 
 
 def _shape(text: str) -> str:
@@ -432,13 +421,8 @@ def learn_thai(texts: DataFrame) -> ThaiModel:
     """
     different = texts.where(F.col("text").rlike("[\\u0E00-\\u0E7F]")).mapInPandas(_thai_paragraphs, "body string, begins boolean, ends boolean").groupBy("body").agg(F.bool_or("begins").alias("begins"), F.bool_or("ends").alias("ends"))
     edges = different.mapInPandas(_thai_edges, "kind string, edge string, n long, every long").groupBy("kind", "edge").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
-    slots = edges.where((F.col("n") >= EDGE_SUPPORT) & (EDGE_SHARE * F.col("n") >= F.col("every"))).select("kind", F.pmod(F.crc32(F.encode("edge", "UTF-8")), F.lit(EDGE_SLOTS)).alias("slot")).distinct().toPandas()
-    tables = []
-    for kind in "be":
-        bits = np.zeros(EDGE_SLOTS, np.uint8)
-        bits[slots.loc[slots["kind"] == kind, "slot"].to_numpy(np.int64)] = 1
-        tables.append(Edges(np.packbits(bits, bitorder="little").tobytes()))
-    return ThaiModel(*tables)
+    kept = written(edges.where((F.col("n") >= EDGE_SUPPORT) & (EDGE_SHARE * F.col("n") >= F.col("every"))))
+    return ThaiModel(*[bit_set(kept.where(F.col("kind") == kind), "edge") for kind in "be"])
 
 
 def all_ends(text: str | None, model: ThaiModel) -> list[int]:

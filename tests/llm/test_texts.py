@@ -229,6 +229,48 @@ def test_vocabulary_counts_copies_once(spark):
     assert {(r["word"], r["meant"]) for r in found.collect()} >= {("vv" + w[1:], w) for w in words}
 
 
+def test_breaks_don_t_speak_for_themselves(spark):
+    page = lambda i, t: (i, i, "acme", 1, 1, t)
+    rows = [page(i, f"It is well and {'long-term' if i % 2 else 'established'} here, row {i}.") for i in range(60)]
+    rows += [page(100, "A well-\nestablished plan."), page(101, "A long-\nterm plan."), page(102, "An estab-\nlished plan."), page(103, "A zymo-\ntechnic plan."), page(104, "Soft estab\u00ad\nlished one.")]
+    frame, none = spark.createDataFrame(rows, PAGE), spark.createDataFrame([], SNIPPET)
+    assert {r["row_id"] for r in pages.find_noise(frame, none).where("kind = 'hyphen'").collect()} == {102, 103, 104}
+    texts = {r["row_id"]: r["text"] for r in pages.repair(frame, none).collect()}
+    assert [texts[i] for i in range(100, 105)] == ["A well-established plan.", "A long-term plan.", "An established plan.", "A zymotechnic plan.", "Soft established one."]
+
+
+def test_notation_is_no_misreading(spark):
+    rows = [(f"co2e of CO2e and will be {chr(97 + i)} water",) for i in range(26)] * 1 + [("CO₂ of old, 5co2e, wi1l b@e w@ter and wat3r",), ("w@ste w@lls w@ys",)]
+    rows += [(f"waste walls ways {chr(97 + i)}",) for i in range(26)]
+    found = {r["word"]: r["meant"] for r in pages.misreadings(pages.vocabulary(spark.createDataFrame(rows, "text string"))).collect()}
+    assert "co₂" not in found and "5co2e" not in found
+    assert found["w@ter"] == "water" and found["w@ste"] == "waste"
+
+
+def test_planted_scan_noise_is_repaired(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = ["water", "energy", "company", "period", "waste", "target", "measured", "reported", "emissions", "premises"]
+    clean = [" ".join(rng.choice(vocabulary, 24)).capitalize() + "." for _ in range(160)]
+    rows, true = [], {}
+    for i, text in enumerate(clean):
+        w = text.split(" ")
+        page = [" ".join(w[:8]), " ".join(w[8:16]), " ".join(w[16:])]
+        if i % 4 == 1:
+            page[0], page[1] = page[0][:-2] + "-", page[0][-2:] + " " + page[1]
+        if i % 4 == 2:
+            page[1] = page[1].replace("m", "rn", 1)
+        if i % 4 == 3:
+            page = ["Acme Oil | Annual Review 2020", *page, f"- {i + 7} -"]
+        if i % 8 == 0:
+            page.insert(1, "")
+        rows.append((i, i // 40, "acme_oil", 1 + i % 40, 1 + i % 40, "\n".join(page)))
+        true[i] = text
+    rows += [(900 + k, k, "acme_oil", 0, 0, f"Acme Oil\nAnnual Review 2020\n{clean[0]}") for k in range(4)]
+    found = {r["row_id"]: r["text"] for r in pages.repair(spark.createDataFrame(rows, PAGE), spark.createDataFrame([], SNIPPET)).collect()}
+    right = sum(found[i] == true[i] for i in true)
+    assert right >= 0.95 * len(true), [(found[i], true[i]) for i in true if found[i] != true[i]][:3]
+
+
 def test_pages_empty(spark):
     assert pages.find_noise(spark.createDataFrame([], PAGE), spark.createDataFrame([], SNIPPET)).count() == 0
 
