@@ -27,6 +27,9 @@ from factloom.session import reliable_checkpoint, written
 STATES = ("title", "header", "number", "heading", "figures", "body", "break")
 KINDS = ("name", "name_no", "number_form", "sequence", "integer", "figures", "mark", "short", "text", "gap", "open_gap")
 EDGES = ("first", "top", "middle", "bottom")
+EDGE_AT = {edge: i for i, edge in enumerate(EDGES)}
+KIND_AT = {kind: len(EDGES) * i for i, kind in enumerate(KINDS)}
+GAP, OPEN_GAP = KIND_AT["gap"] + EDGE_AT["middle"], KIND_AT["open_gap"] + EDGE_AT["middle"]
 SAMPLE_TEXTS = 4_000
 LONGEST_WORD = 64
 IMPOSSIBLE = 1e-6
@@ -38,14 +41,18 @@ PAGE_WORDS = r"page|pg|p|página|pagina|pág|seite|s|strona|str|стр|стра
 NUMBER_FORM = re.compile(rf"(?:(?:{PAGE_WORDS})\.?[ \xa0]*\d{{1,4}}(?:[ \xa0]*(?:/|of|de|von|z|из)[ \xa0]*\d{{1,4}})?(?:[ \xa0]*[页頁])?|\d{{1,4}}[ \xa0]*/[ \xa0]*\d{{1,4}}|\[[ \xa0]*\d{{1,4}}[ \xa0]*\]|[-–—][ \xa0]*\d{{1,4}}[ \xa0]*[-–—])", re.IGNORECASE)
 INTEGER = re.compile(r"\d{1,4}")
 ROMAN = re.compile(r"(?=[ivxlc])(?:x{0,3}|xl|lx{0,3}|xc|c{1,3}x{0,3})(?:ix|iv|v?i{0,3})")
-FIGURE = re.compile(r"[\d.,\s%()/–—-]*\d[\d.,\s%()/–—-]*|[–—-]|n/a", re.IGNORECASE)
+FIGURE = re.compile(r"(?=\D*\d)[\d.,\s%()/–—-]+|[–—-]|n/a", re.IGNORECASE)
 COMPANY_FORM = re.compile(r"\b(?:plc|inc|ltd|corp|s\.?a|gmbh|ltda)\b\.?", re.IGNORECASE)
 YEARS = re.compile(r"(?:19|20)\d\d(?:[/–-]\d\d(?:\d\d)?)?")
+DIGIT = re.compile(r"\d")
+PAGE_NUMBER = re.compile(r"\d{1,4}|[ivxlc]{1,6}")
+FIRST_NUMBER = re.compile(r"\s*(\d{1,4}|[ivxlc]{1,6})\s{2,}")
 SEPARATED = re.compile(r"\s[|·•–—-]\s|\S {2,}\S|\t")
 BREAK = re.compile(r"([^\W\d_][\w'’-]*|[\w-]*[^\W\d_])([-‐‑¬\xad])[ \t]*\n[ \t]*([^\W\d_][\w'’-]*)")
 MARK_AT = re.compile(r"[-‐‑¬\xad][ \t]*\n")
 MARKS = re.compile(r"(?<=\w)[-‐‑¬\xad][ \t]*\n[ \t]*(?=\w)")
 WORD = re.compile(r"[^\s|,;:!?…()\[\]{}\"“”„«»‘’.·/=+<>—–]+")
+ASCII_GAPS = {ord(c): " " for c in "|,;:!?()[]{}\"./=+<>"}
 UNSPACED = re.compile("[⺀-〿぀-ヿ㐀-鿿豈-﫿฀-๿]")
 WIDE = "[\u2e80-\u9fff\uf900-\ufaff\ufe30-\ufe4f\uff00-\uffef]"
 NUMBER_WORD = re.compile(r"[\d.,%°³²-]*")
@@ -55,13 +62,15 @@ INNER = "\x01"
 @lru_cache(200_000)
 def skeleton(text: str) -> str:
     """A form in which a text and its usual misreadings agree: lower case, look-alikes merged, without blanks and marks."""
-    t = unicodedata.normalize("NFKD", text.lower())
-    t = re.sub(r"[̀-ͯ]", "", t).translate(LOOKALIKE)
+    plain = text.isascii()
+    t = text.lower() if plain else re.sub(r"[\u0300-\u036f]", "", unicodedata.normalize("NFKD", text.lower()))
+    t = t.translate(LOOKALIKE)
     for pair, single in (("rn", "m"), ("vv", "w"), ("ii", "u"), ("li", "h"), ("cl", "d")):
         t = t.replace(pair, single)
-    return re.sub(r"[^\w]|_", "", t)
+    return t.translate(NO_WORD) if plain else "".join(filter(str.isalnum, t))
 
 
+NO_WORD = dict.fromkeys(c for c in range(128) if not chr(c).isalnum())
 # Characters that stand for one another in scans.
 LOOKALIKE = str.maketrans({"0": "o", "1": "l", "5": "s", "6": "b", "3": "z", "$": "s", "@": "a", "†": "t", "ſ": "f", "q": "g", "c": "e", "а": "a", "о": "o", "е": "e", "n": "n", "и": "n", "з": "z", "б": "b", "旳": "的", "午": "年", "申": "电", "置": "量", "氷": "水"})
 
@@ -95,11 +104,15 @@ def prior_model(titles: Container[str] = ()) -> LineModel:
 
 def name_parts(line: str, company: str, titles: Container[str]) -> tuple[bool, bool, bool, str]:
     """Whether a line consists of the company's name and/or a report title, which of both, and what number is left over."""
-    bare = YEARS.sub(" ", COMPANY_FORM.sub(" ", line))
+    bare = COMPANY_FORM.sub(" ", line)
+    if DIGIT.search(bare):
+        bare = YEARS.sub(" ", bare)
     number = ""
-    if m := re.match(r"\s*(\d{1,4}|[ivxlc]{1,6})\s{2,}|.*?[\s](\d{1,4}|[ivxlc]{1,6})\s*$", bare):
-        number = m[1] or m[2] or ""
-        bare = bare[: m.start(1)] + bare[m.end(1) :] if m[1] else bare[: m.start(2)]
+    if m := FIRST_NUMBER.match(bare):
+        number, bare = m[1], bare[m.end(1) :]
+    elif len(parts := bare.rsplit(None, 1)) == 2 and PAGE_NUMBER.fullmatch(parts[1]) or bare[:1].isspace() and len(parts) == 1 and PAGE_NUMBER.fullmatch(parts[0]):
+        number = parts[-1]
+        bare = bare[: bare.rindex(number)]
     own = skeleton(bare)
     if not own:
         return False, False, False, ""
@@ -113,17 +126,18 @@ def name_parts(line: str, company: str, titles: Container[str]) -> tuple[bool, b
 def features(lines: list[str], company: str, titles: Container[str], first_page: bool, page_no: int | None, offset: int | None) -> list[int]:
     """The observation of each line: kind and edge; neighbouring blank lines, of which only one must be given, have one."""
     filled = [x for x in lines if x.strip()]
-    observed = iter(_observed(filled, company, titles, first_page, page_no, offset))
-    at = -1
+    observed = _observed(filled, company, titles, first_page, page_no, offset)
+    if len(filled) == len(lines):
+        return observed
+    at = 0
     found = []
     for line in lines:
         if line.strip():
-            found.append(next(observed))
+            found.append(observed[at])
             at += 1
         else:
-            above, below = filled[at].rstrip() if at >= 0 else "", filled[at + 1].lstrip() if at + 1 < len(filled) else ""
-            runs_on = bool(above and below) and below[0].islower() and (above[-1].isalnum() or above[-1] in ",;-‐‑¬\xad")
-            found.append(KINDS.index("open_gap" if runs_on else "gap") * len(EDGES) + EDGES.index("middle"))
+            above, below = filled[at - 1].rstrip() if at else "", filled[at].lstrip() if at < len(filled) else ""
+            found.append(OPEN_GAP if above and below and below[0].islower() and (above[-1].isalnum() or above[-1] in ",;-‐‑¬\xad") else GAP)
     return found
 
 
@@ -156,14 +170,14 @@ def _observed(lines: list[str], company: str, known: Container[str], first_page:
                 value = int(s) if s.isdigit() else roman(s)
                 kind = "sequence" if page_no is not None and (offset is not None and value - page_no == offset or not s.isdigit() and value == page_no) else "integer"
         if kind == "text":
-            if s.startswith("|") or len(s) <= 200 and FIGURE.fullmatch(s):
+            if s[0] == "|" or s[0] in "0123456789.,%()/–—-nN" and FIGURE.fullmatch(s):
                 kind = "figures"
             elif s.startswith("#"):
                 kind = "mark"
             elif len(s) <= 60 and s[-1].isalnum() and not s[0].islower():
                 kind = "short"
         edge = "first" if first_page and i < 2 else "top" if near_top and i <= n // 2 else "bottom" if near_bottom else "middle"
-        found.append(KINDS.index(kind) * len(EDGES) + EDGES.index(edge))
+        found.append(KIND_AT[kind] + EDGE_AT[edge])
     return found
 
 
@@ -286,6 +300,8 @@ def label_lines(text: str, company: str | None, first_page: bool, page_no: int |
     company = re.sub(r"[-_ ]+", " ", company or "").strip()
     kept = without_repeated_blanks(lines)
     states = [STATES[k] for k in viterbi(features(kept, company, model.titles, first_page, page_no, offset), model)]
+    if len(kept) == len(lines) and all(map(str.strip, lines)):
+        return list(zip(states, lines, strict=True))
     labelled, at = [], 0
     for line in lines:
         if line.strip():
@@ -328,7 +344,12 @@ def without_broken(text: str) -> str:
 
 def words_of(text: str) -> list[str]:
     """Lower-case words of a text, broken ones left out."""
-    return WORD.findall((without_broken(text) if "\n" in text else text).lower())
+    return words_in(without_broken(text) if "\n" in text else text)
+
+
+def words_in(text: str) -> list[str]:
+    """Lower-case words of a text as it stands."""
+    return text.lower().translate(ASCII_GAPS).split() if text.isascii() else WORD.findall(text.lower())
 
 
 def windows_of(text: str) -> list[str]:
@@ -390,7 +411,7 @@ def misreadings(words: DataFrame) -> DataFrame:
     cut = _patterns(words)
     letters = r"^[^\s\-'‐‑¬\x{ad}]+$"
     sound = F.col("part").rlike(letters) & ~F.col("part").rlike(r"\p{No}") & F.col("true").rlike(letters) & F.col("true").rlike(r"\p{L}") & ~F.contains("part", "true") & ~F.contains("true", "part")
-    hits = cut.join(frequent, ["pattern", "unspaced"]).where((F.col("m") >= RATIO * F.col("n")) & sound).select("word", "unspaced", "n", "meant", "m", "part", "true").distinct()
+    hits = cut.join(frequent.hint("merge"), ["pattern", "unspaced"]).where((F.col("m") >= RATIO * F.col("n")) & sound).select("word", "unspaced", "n", "meant", "m", "part", "true").distinct()
     hits = written(hits)
     support = hits.groupBy("unspaced", "part", "true").agg(F.countDistinct("word").alias("k"))
     held = cut.join(support.select("unspaced", "part").distinct(), ["unspaced", "part"], "left_semi").groupBy("unspaced", "part").agg(F.countDistinct("word").alias("held"))
@@ -399,7 +420,7 @@ def misreadings(words: DataFrame) -> DataFrame:
     signs = learned.where((F.col("k") >= SUPPORT) & ~F.col("unspaced") & (F.length("part") == 1) & F.col("part").rlike(r"[^\p{L}]")).select("part", "true", "k")
     held_signs = words.where(~F.col("unspaced") & F.col("word").rlike(r"\p{L}[^\p{L}]\p{L}"))
     mended = _patterns(held_signs).where(F.col("pattern").rlike(r"\p{L}\x01\p{L}")).join(signs, "part").select("word", "unspaced", "n", F.replace("pattern", F.lit(INNER), F.col("true")).alias("meant"), "k")
-    mended = mended.join(words.where(~F.col("unspaced") & (F.col("n") > 1)).select(F.col("word").alias("meant"), F.col("n").alias("m")), "meant").where("m >= n").select("word", "unspaced", "k", "m", "meant")
+    mended = mended.join(words.where(~F.col("unspaced") & (F.col("n") > 1)).select(F.col("word").alias("meant"), F.col("n").alias("m")).hint("shuffle_hash"), "meant").where("m >= n").select("word", "unspaced", "k", "m", "meant")
     every = hits.join(learned, ["unspaced", "part", "true"]).select("word", "unspaced", "k", "m", "meant").unionByName(mended)
     best = every.groupBy("word", "unspaced").agg(F.max(F.struct("k", "m", "meant")).alias("b"))
     return best.select("word", "unspaced", F.col("b.meant").alias("meant"))
@@ -434,7 +455,7 @@ def evidence(texts: DataFrame, model: LineModel, known: tuple[frozenset[str], fr
                     rows += [(src, i, k, None, None) for k in noise_of_lines(labelled, company, titles)]
                     rows += [(src, i, "break", a, b) for a, b in broken_forms(text)]
                     text = MARKS.sub("", text)
-                for w in set(WORD.findall(text.lower())) - words:
+                for w in set(words_in(text)) - words:
                     if not w.isdigit() and len(w) <= LONGEST_WORD and not NUMBER_WORD.fullmatch(w):
                         rows.append((src, i, "word", w, None))
                 if not text.isascii():
@@ -505,7 +526,7 @@ class Findings:
     def misread(self) -> DataFrame:
         """(src, row_id, word, meant, unspaced) of misread words and windows."""
         asked = self.found.where("what in ('word', 'window')").select("src", "row_id", F.col("a").alias("word"), (F.col("what") == "window").alias("unspaced"))
-        return asked.join(self.wrong, ["word", "unspaced"])
+        return asked.join(self.wrong.hint("shuffle_hash"), ["word", "unspaced"])
 
 
 def examine(pages: DataFrame, snippets: DataFrame) -> Findings:
@@ -514,7 +535,7 @@ def examine(pages: DataFrame, snippets: DataFrame) -> Findings:
     model = learn(pages, texts, offsets)
     words = written(vocabulary(texts))
     wrong = written(misreadings(words))
-    sound = words.join(wrong, ["word", "unspaced"], "left_anti").where(F.col("n") >= FREQUENT)
+    sound = words.join(wrong.hint("shuffle_hash"), ["word", "unspaced"], "left_anti").where(F.col("n") >= FREQUENT)
     top = lambda unspaced, most: frozenset(r["word"] for r in sound.where(F.col("unspaced") == unspaced).orderBy(F.desc("n"), "word").limit(most).select("word").collect())
     known = (top(False, KNOWN_WORDS), top(True, KNOWN_WINDOWS))
     placed = numbered(texts, offsets)
@@ -597,7 +618,8 @@ def broken_words(found: DataFrame, words: DataFrame) -> DataFrame:
     no line ends. Where neither is seen, the mark is taken for part of a compound if both
     its parts are words seen at least 20 times.
     """
-    counts = words.where("not unspaced").select("word", "n")
+    # Hints keep tables that grow with the corpus from being sent to every task.
+    counts = words.where("not unspaced").select("word", "n").hint("shuffle_hash")
     marks = found.where("what = 'break'").select("src", "row_id", "a", "b")
     forms = marks.select("a", "b").distinct().withColumns(
         {"joined": F.replace("a", F.lit(INNER), F.lit("")), "hyphenated": F.replace("a", F.lit(INNER), F.lit("-")), "before": F.substring_index("a", INNER, 1), "after": F.substring_index("a", INNER, -1)}
