@@ -31,6 +31,7 @@ EDGE_AT = {edge: i for i, edge in enumerate(EDGES)}
 KIND_AT = {kind: len(EDGES) * i for i, kind in enumerate(KINDS)}
 GAP, OPEN_GAP = KIND_AT["gap"] + EDGE_AT["middle"], KIND_AT["open_gap"] + EDGE_AT["middle"]
 SAMPLE_TEXTS = 4_000
+MANY_LINES = 500
 LONGEST_WORD = 64
 IMPOSSIBLE = 1e-6
 FREQUENT, RATIO, SUPPORT, PURITY = 20, 20, 3, 0.02
@@ -202,10 +203,39 @@ class _Paths:
         self.into: list[list[float]] = []
         self.start: list[float] = []
 
-    def __call__(self, observed: tuple[int, ...], model: LineModel) -> list[int]:
+    def _use(self, model: LineModel) -> None:
         if self.model is not model or len(self.known) > 200_000:
             self.model, self.known = model, {}
             self.emit, self.into, self.start = model.emit.T.tolist(), model.move.T.tolist(), model.start.tolist()
+
+    def learn(self, sequences: list[list[int]], model: LineModel) -> None:
+        """Finds the best paths of many observations at once, but for the few very long ones."""
+        self._use(model)
+        new = sorted({o for o in map(tuple, sequences) if o and o not in self.known and len(o) <= MANY_LINES}, key=len, reverse=True)
+        if not new:
+            return
+        lengths = np.array([len(o) for o in new])
+        table = np.zeros((len(new), lengths[0]), np.int64)
+        for i, o in enumerate(new):
+            table[i, : len(o)] = o
+        emit, back = model.emit.T, np.zeros((len(new), lengths[0], len(STATES)), np.int8)
+        score = model.start + emit[table[:, 0]]
+        for t in range(1, lengths[0]):
+            n = int(np.searchsorted(-lengths, -t, "left"))
+            steps = score[:n, :, None] + model.move
+            back[:n, t] = steps.argmax(axis=1)
+            score[:n] = steps.max(axis=1) + emit[table[:n, t]]
+        state = score.argmax(axis=1)
+        paths = np.zeros(table.shape, np.int8)
+        for t in range(lengths[0] - 1, -1, -1):
+            n = int(np.searchsorted(-lengths, -t, "left"))
+            paths[:n, t] = state[:n]
+            if t:
+                state[:n] = back[np.arange(n), t, state[:n]]
+        self.known.update({o: path[: len(o)].tolist() for o, path in zip(new, paths, strict=True)})
+
+    def __call__(self, observed: tuple[int, ...], model: LineModel) -> list[int]:
+        self._use(model)
         if (path := self.known.get(observed)) is None:
             path = self.known[observed] = self._best(observed)
         return path
@@ -231,6 +261,7 @@ _paths = _Paths()
 def path_counts(sequences: list[tuple[list[int], float]], model: LineModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, moves and emissions along the best paths of `sequences`, each with its number."""
     start, move, emit = np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit)
+    _paths.learn([o for o, _ in sequences], model)
     for o, n in sequences:
         path = viterbi(o, model)
         if path:
@@ -294,24 +325,38 @@ def numbered(texts: DataFrame, offsets: DataFrame) -> DataFrame:
     return pages.unionByName(rest).select("src", "row_id", "company", "first_page", "page_no", F.col("offset").cast("int").alias("offset"), "text")
 
 
+def observe(text: str, company: str | None, first_page: bool, page_no: int | None, offset: int | None, titles: Container[str]) -> tuple[list[str], list[int]]:
+    """The lines of a text, of neighbouring blank ones one, and what is observed of each."""
+    kept = without_repeated_blanks(text.split("\n"))
+    return kept, features(kept, re.sub(r"[-_ ]+", " ", company or "").strip(), titles, first_page, page_no, offset)
+
+
+def label_observed(texts: list[str], observed: list[tuple[list[str], list[int]]], model: LineModel) -> list[list[tuple[str, str]]]:
+    """(label, line) of every line of each text of which `observe` is given; blank lines are labelled break, or body where a paragraph runs on."""
+    _paths.learn([o for _, o in observed], model)
+    found = []
+    for text, (kept, o) in zip(texts, observed, strict=True):
+        lines = text.split("\n")
+        states = [STATES[k] for k in viterbi(o, model)]
+        if len(kept) == len(lines):
+            found.append(list(zip(states, lines, strict=True)))
+            continue
+        labelled, at = [], 0
+        for line in lines:
+            if line.strip():
+                # A kept blank line before it was passed by the blank ones above.
+                at += not kept[at].strip()
+                labelled.append((states[at], line))
+                at += 1
+            else:
+                labelled.append((states[at] if 0 < at < len(kept) and not kept[at].strip() else "break", line))
+        found.append(labelled)
+    return found
+
+
 def label_lines(text: str, company: str | None, first_page: bool, page_no: int | None, offset: int | None, model: LineModel) -> list[tuple[str, str]]:
-    """(label, line) of every line; blank lines are labelled break, or body where a paragraph runs on."""
-    lines = text.split("\n")
-    company = re.sub(r"[-_ ]+", " ", company or "").strip()
-    kept = without_repeated_blanks(lines)
-    states = [STATES[k] for k in viterbi(features(kept, company, model.titles, first_page, page_no, offset), model)]
-    if len(kept) == len(lines) and all(map(str.strip, lines)):
-        return list(zip(states, lines, strict=True))
-    labelled, at = [], 0
-    for line in lines:
-        if line.strip():
-            # A kept blank line before it was passed by the blank ones above.
-            at += at < len(kept) and not kept[at].strip()
-            labelled.append((states[at], line))
-            at += 1
-        else:
-            labelled.append((states[at] if 0 < at < len(kept) and not kept[at].strip() else "break", line))
-    return labelled
+    """`label_observed` of one text."""
+    return label_observed([text], [observe(text, company, first_page, page_no, offset, model.titles)], model)[0]
 
 
 def noise_of_lines(labelled: list[tuple[str, str]], company: str | None, titles: Container[str]) -> set[str]:
@@ -449,10 +494,12 @@ def evidence(texts: DataFrame, model: LineModel, known: tuple[frozenset[str], fr
         titles = lines_model.titles
         for batch in batches:
             rows: list[tuple] = []
-            for src, i, company, first, no, offset, text in batch.itertuples(index=False, name=None):
+            several = [r for r in batch.itertuples(index=False, name=None) if "\n" in r[6]]
+            observed = [observe(text, company, first, None if pd.isna(no) else int(no), None if pd.isna(offset) else int(offset), titles) for _, _, company, first, no, offset, text in several]
+            for (src, i, company, *_), labelled in zip(several, label_observed([r[6] for r in several], observed, lines_model), strict=True):
+                rows += [(src, i, k, None, None) for k in noise_of_lines(labelled, company, titles)]
+            for src, i, text in zip(batch["src"], batch["row_id"], batch["text"], strict=True):
                 if "\n" in text:
-                    labelled = label_lines(text, company, first, None if no != no or no is None else int(no), None if offset != offset or offset is None else int(offset), lines_model)
-                    rows += [(src, i, k, None, None) for k in noise_of_lines(labelled, company, titles)]
                     rows += [(src, i, "break", a, b) for a, b in broken_forms(text)]
                     text = MARKS.sub("", text)
                 for w in set(words_in(text)) - words:
@@ -482,15 +529,14 @@ def learn(pages: DataFrame, texts: DataFrame, offsets: DataFrame) -> LineModel:
     sample = numbered(texts.join(F.broadcast(chosen), ["src", "row_id"], "left_semi"), offsets)
     shared = texts.sparkSession.sparkContext.broadcast(titles)
 
-    def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def observations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for company, first, no, offset, text in batch.itertuples(index=False, name=None):
-                named = re.sub(r"[-_ ]+", " ", company or "").strip()
-                rows.append((features(without_repeated_blanks(text.split("\n")), named, shared.value, first, None if pd.isna(no) else int(no), None if pd.isna(offset) else int(offset)),))
+                rows.append((observe(text, company, first, None if pd.isna(no) else int(no), None if pd.isna(offset) else int(offset), shared.value)[1],))
             yield pd.DataFrame(rows, columns=["o"])
 
-    sequences = written(sample.select("company", "first_page", "page_no", "offset", "text").mapInPandas(observe, "o array<int>").groupBy("o").agg(F.count(F.lit(1)).alias("n")))
+    sequences = written(sample.select("company", "first_page", "page_no", "offset", "text").mapInPandas(observations, "o array<int>").groupBy("o").agg(F.count(F.lit(1)).alias("n")))
 
     def counted(model: LineModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -600,11 +646,12 @@ def repair(pages: DataFrame, snippets: DataFrame) -> DataFrame:
         model = shared.value
         for batch in batches:
             rows = []
-            for src, i, company, first, no, offset, text, own_fixes in batch.itertuples(index=False, name=None):
+            given = list(batch.itertuples(index=False, name=None))
+            observed = [observe(text, company, first, None if pd.isna(no) else int(no), None if pd.isna(offset) else int(offset), model.titles) for _, _, company, first, no, offset, text, _ in given]
+            for (src, i, *_, own_fixes), labelled in zip(given, label_observed([r[6] for r in given], observed, model), strict=True):
                 by: dict[str, dict[str, str]] = {"word": {}, "window": {}, "break": {}}
                 for f in own_fixes if own_fixes is not None else []:
                     by[f["what"]][f["a"]] = f["b"]
-                labelled = label_lines(text, company, first, None if pd.isna(no) else int(no), None if pd.isna(offset) else int(offset), model)
                 rows.append((src, i, repaired_text(labelled, set(by["break"]), by["word"], by["window"])))
             yield pd.DataFrame(rows, columns=["src", "row_id", "text"])
 

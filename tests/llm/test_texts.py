@@ -284,3 +284,13 @@ def test_viterbi_against_brute_force():
         o = [int(x) for x in rng.integers(0, 36, 4)]
         score = lambda p, o=o: model.start[p[0]] + model.emit[p[0], o[0]] + sum(model.move[a, b] + model.emit[b, x] for a, b, x in zip(p, p[1:], o[1:], strict=False))
         assert tuple(pages.viterbi(o, model)) == max(product(range(6), repeat=4), key=score)
+
+
+def test_paths_of_many_at_once():
+    rng = np.random.default_rng(4)
+    states, kinds = len(pages.STATES), len(pages.KINDS) * len(pages.EDGES)
+    model = pages.LineModel(np.log(rng.dirichlet(np.ones(states))), np.log(rng.dirichlet(np.ones(states), states)), np.log(rng.dirichlet(np.ones(kinds), states)))
+    sequences = [[int(x) for x in rng.integers(0, kinds, n)] for n in [*rng.integers(1, 30, 60), 1, pages.MANY_LINES, 700]]
+    pages._paths.learn(sequences, model)
+    assert all(pages._paths.known[tuple(o)] == pages._paths._best(tuple(o)) for o in sequences if len(o) <= pages.MANY_LINES)
+    assert len(pages.viterbi(sequences[-1], model)) == 700
