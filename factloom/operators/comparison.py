@@ -48,8 +48,8 @@ def best_of_either(outcomes: DataFrame, extractors: Sequence[str]) -> DataFrame:
     return cell.groupBy("kpi").agg(F.count_if("right").alias("right"), F.count(F.lit(1)).alias("labels"))
 
 
-def tagged(facts: DataFrame, run_tag: str) -> DataFrame:
-    """`facts` of a run."""
-    return facts.withColumn("run_tag", F.lit(run_tag))
-
+def run_values(facts: DataFrame, position: str) -> DataFrame:
+    """(run_tag, extractor, company, report_year, kpi, value): the first value of each, of all runs and extractors; the long form of run_comparison, whose width grows with the runs."""
+    keys = ["run_tag", "extractor", "company", "report_year", "kpi"]
+    return facts.where("value is not null").groupBy(*keys).agg(F.min_by("value", position).alias("value"))
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.numbers import any_notation
+from factloom.session import written
 
 SKETCH_SLOTS = 4096
 PER_BUCKET = 200
@@ -142,11 +143,11 @@ def _peeled(cells: DataFrame, width: int) -> DataFrame:
 
 
 def differing_keys(signed: DataFrame) -> tuple[DataFrame, int]:
-    """(bucket, k) of differing keys and the number of buckets; `signed` is (_k, _h, _s)."""
+    """(bucket, k) of differing keys, peeled once and written, and the number of buckets; `signed` is (_k, _h, _s)."""
     expected = estimate_differences(signed)
     buckets = max(1, -int(-1.1 * expected // PER_BUCKET))
     width = int(1.8 * PER_BUCKET / HASHES) + 8
-    return _peeled(_cells(signed, buckets, width), width), buckets
+    return written(_peeled(_cells(signed, buckets, width), width)), buckets
 
 
 def diff_copies(left: DataFrame, right: DataFrame, key: Sequence[str], fields: Sequence[Field], rel_tol: float = 1e-9) -> DataFrame:

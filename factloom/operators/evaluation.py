@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom import registry
+from factloom.session import bounded, small
 
 
 def is_correct(value: Column, unit: Column, year: Column, gold_value: Column, gold_unit: Column, gold_year: Column, tolerance: float = registry.TOLERANCE) -> Column:
@@ -33,8 +34,8 @@ def judged(labels: DataFrame, predictions: DataFrame, kpis: DataFrame, order: st
     """
     keys = ["extractor", "company", "report_year", "kpi"]
     pred = last_per_key(predictions, keys, order).select(*keys, F.col("value").alias("p_value"), F.col("unit").alias("p_unit"), F.col("reporting_year").alias("p_year"), F.lit(True).alias("matched"))
-    names = F.broadcast(predictions.select("extractor").where("extractor is not null").distinct().limit(10_000))
-    asked = labels.join(F.broadcast(kpis.select("kpi").distinct()), "kpi", "left_semi").select("company", "report_year", "kpi", "value", "unit", "reporting_year").join(names)
+    names = bounded(predictions.select("extractor").where("extractor is not null").distinct(), "the list of extractors")
+    asked = labels.join(small(kpis.select("kpi").distinct()), "kpi", "left_semi").select("company", "report_year", "kpi", "value", "unit", "reporting_year").join(names)
     j = asked.join(pred, keys, "left")
     correct = is_correct(F.col("p_value"), F.col("p_unit"), F.col("p_year"), F.col("value"), F.col("unit"), F.col("reporting_year"))
     has = F.col("p_value").isNotNull()
@@ -46,7 +47,7 @@ def metrics(outcomes: DataFrame, extractors: DataFrame, kpis: DataFrame) -> Data
     """tp, fp, fn, tn, precision, recall, f1 and coverage for every extractor and indicator, 0 where nothing was judged."""
     count = lambda o: F.count_if(F.col("outcome") == o).alias(o)
     counted = outcomes.groupBy("extractor", "kpi").agg(*[count(o) for o in ("tp", "fp", "fn", "tn")], F.count_if("matched").alias("matched"), F.count_if("valued").alias("valued"))
-    every = extractors.select("extractor").distinct().join(F.broadcast(kpis.select("kpi").distinct()))
+    every = extractors.select("extractor").distinct().join(bounded(kpis.select("kpi").distinct(), "the list of indicators"))
     full = every.join(counted, ["extractor", "kpi"], "left").fillna(0)
     ratio = lambda n, d: F.when(d > 0, n / F.nullif(d, F.lit(0))).otherwise(0.0)
     scored = full.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factloom import registry
 from factloom.functions import text, vectors
 from factloom.operators import ranking, rules
-from factloom.session import reliable_checkpoint
+from factloom.session import bounded, reliable_checkpoint
 
 
 class Extractor(Protocol):
@@ -32,10 +32,11 @@ def page_sentences(pages: DataFrame) -> DataFrame:
 
 def rank_pages(pages: DataFrame, sentences: DataFrame, tables: DataFrame, kpis: DataFrame, top: int = registry.RULE_PAGES) -> DataFrame:
     """(report_id, kpi, page_num, rank from 0): the first `top` pages by fused similarity to all phrases of an indicator and by its words."""
-    phrases = kpis.select("kpi", F.posexplode("queries").alias("no", "phrase")).select(F.concat_ws("#", "kpi", "no").alias("query_id"), "kpi", vectors.slots(F.col("phrase")).alias("b")).limit(10_000)
+    phrases = kpis.select("kpi", F.posexplode("queries").alias("no", "phrase")).select(F.concat_ws("#", "kpi", "no").alias("query_id"), "kpi", vectors.slots(F.col("phrase")).alias("b"))
+    phrases = bounded(phrases, "the list of phrases")
     s = sentences.where("text is not null and page_num is not null").select("report_id", "page_num", vectors.slots(F.col("text")).alias("a"))
     h = rules.header_entries(tables, False).where("page_num is not null").select("report_id", "page_num", vectors.slots(F.col("header_string")).alias("a"))
-    best = s.unionAll(h).join(F.broadcast(phrases)).groupBy("report_id", "page_num", "query_id").agg(F.max(vectors.slot_cosine(F.col("a"), F.col("b"))).alias("s"))
+    best = s.unionAll(h).join(phrases).groupBy("report_id", "page_num", "query_id").agg(F.max(vectors.slot_cosine(F.col("a"), F.col("b"))).alias("s"))
     every = pages.select("report_id", "page_num", "page_pos").join(F.broadcast(phrases.select("query_id", "kpi")))
     scores = every.join(best, ["report_id", "page_num", "query_id"], "left").withColumn("score", F.coalesce("s", F.lit(0.0)))
     fused = ranking.reciprocal_rank_fusion(ranking.ranked(scores, ["report_id", "query_id"]), ["report_id", "kpi"])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from factloom import registry
 from factloom.functions.text import normalize_co2
 from factloom.functions.units import canonical_unit, to_canonical_value
+from factloom.session import small
 
 RESPONSE = "cache_key string, value double, unit string, reporting_year int, source_snippet string, confidence double"
 SYSTEM_PROMPT = "Return the value of the indicator for the latest year as reported for the whole group, with a unit of the given list, or nothing if it isn't reported."
@@ -119,7 +120,7 @@ def validated(answers: DataFrame, kpis: DataFrame, name: str = "llm") -> DataFra
     of another kind: unit_unknown. A value beyond the plausible range: out_of_range.
     """
     known = kpis.select("kpi", "canonical_unit", "lo", "hi")
-    a = answers.join(F.broadcast(known), "kpi").withColumn("_v", to_canonical_value(F.col("value"), F.col("unit"), F.col("canonical_unit")))
+    a = answers.join(small(known), "kpi").withColumn("_v", to_canonical_value(F.col("value"), F.col("unit"), F.col("canonical_unit")))
     reason = (
         F.when(~F.col("answered"), "api_error")
         .when(F.col("value").isNull(), F.lit(None))

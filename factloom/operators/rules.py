@@ -11,6 +11,7 @@ from factloom.functions import tablecells, text
 from factloom.functions.numbers import first_number, has_number, numbers_in_text
 from factloom.functions.units import family, parse_value, to_canonical_value
 from factloom.functions.vectors import slot_cosine, slots
+from factloom.session import bounded, small
 
 # Years of a header line, and where it is sought from a line, nearest above first.
 LINE_YEAR = r"\b(20[1-3]\d)\b"
@@ -34,7 +35,7 @@ def table_similarity(tables: DataFrame, kpis: DataFrame, per_row: bool = True) -
     """(table_id, kpi, sim): the best cosine of a table's entries with the indicator's query, by the in-repo embedder."""
     entries = header_entries(tables, per_row).select("table_id", slots(F.col("header_string")).alias("a"))
     asked = kpis.select("kpi", slots(F.col("query")).alias("b"))
-    return entries.join(F.broadcast(asked)).groupBy("table_id", "kpi").agg(F.max(slot_cosine(F.col("a"), F.col("b"))).alias("sim"))
+    return entries.join(bounded(asked, "the list of indicators")).groupBy("table_id", "kpi").agg(F.max(slot_cosine(F.col("a"), F.col("b"))).alias("sim"))
 
 
 def table_rows(tables: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def not_under_heading(tables: DataFrame, pages: DataFrame, kpis: DataFrame) -> D
     phrases = kpis.where("page_negative_phrases is not null").select("kpi", "page_negative_phrases")
     heads = pages.where("text is not null and contains(text, '#')").groupBy("report_id", "page_num").agg(F.max(text.heading_text(F.col("text"))).alias("heading"))
     on = tables.select("report_id", "page_num", "table_id").join(heads, ["report_id", "page_num"])
-    return on.join(F.broadcast(phrases)).where(text.holds_any(F.col("heading"), F.col("page_negative_phrases"))).select("table_id", "kpi")
+    return on.join(bounded(phrases, "the list of phrases")).where(text.holds_any(F.col("heading"), F.col("page_negative_phrases"))).select("table_id", "kpi")
 
 
 def table_candidates(tables: DataFrame, pages: DataFrame, kpis: DataFrame, similarity: DataFrame, threshold: float = registry.HEADER_SIMILARITY) -> DataFrame:
@@ -68,9 +69,9 @@ def table_candidates(tables: DataFrame, pages: DataFrame, kpis: DataFrame, simil
     known = kpis.select("kpi", "query", text.tokens(F.col("query")).alias("wanted"), "canonical_unit", "lo", "hi", "negative_tokens", family(F.col("unit_family")).alias("accepted"))
     labelled = rows.join(near, "table_id")
     # Labels repeat over tables and years, so each is scored once per indicator.
-    pairs = labelled.select("label", "kpi").distinct().withColumn("held", text.tokens(F.col("label"))).join(F.broadcast(known.select("kpi", "query", "wanted")), "kpi")
+    pairs = labelled.select("label", "kpi").distinct().withColumn("held", text.tokens(F.col("label"))).join(small(known.select("kpi", "query", "wanted")), "kpi")
     scores = pairs.select("label", "kpi", tablecells.row_score(F.col("query"), F.col("label"), F.col("wanted"), F.col("held")).alias("row_score")).where("row_score > 0")
-    joined = labelled.join(scores, ["label", "kpi"]).join(F.broadcast(known), "kpi")
+    joined = labelled.join(scores, ["label", "kpi"]).join(small(known), "kpi")
     haystack = F.lower(F.concat_ws(" ", "section", "label", F.when(F.size("row") > 1, tablecells.text_of(F.get("row", F.lit(1)))).otherwise(F.lit(""))))
     scored = joined.where(~text.holds_any(haystack, F.col("negative_tokens")))
     read = scored.withColumn("unit", tablecells.infer_unit(F.col("headers"), F.col("row"), F.col("year_col"), F.col("accepted"))).where("unit.unit is not null")
@@ -137,7 +138,7 @@ def line_candidates(pages: DataFrame, ranking: DataFrame, kpis: DataFrame) -> Da
     lines = pages.where("text is not null").select(*REPORT, "page_num", F.split(text.normalize_co2(F.col("text")), "\n").alias("lines"))
     lines = lines.withColumn("_s", F.transform("lines", lambda t, i: F.struct(i.alias("line_idx"), trimmed(t).alias("line"))))
     lines = lines.withColumn("_s", F.transform(F.filter("_s", lambda x: F.length(x["line"]) >= 10), lambda x: F.struct(x["line_idx"], x["line"], F.lower(x["line"]).alias("low"))))
-    each = lines.join(sized, ["report_id", "page_num"]).join(F.broadcast(known), "kpi")
+    each = lines.join(sized, ["report_id", "page_num"]).join(small(known), "kpi")
     least = registry.LEAST_KEYWORD_SHARE
     kept = F.filter("_s", lambda x: (text.keyword_share(x["low"], F.col("words")) >= least) & ~text.holds_any(x["low"], F.col("negative_tokens")))
     gated = each.withColumn("g", F.explode(kept)).drop("_s").withColumn("line", F.col("g.line")).withColumn("line_idx", F.col("g.line_idx"))
@@ -175,7 +176,7 @@ def extract(reports: DataFrame, kpis: DataFrame, from_tables: DataFrame, from_li
     facts = ["confidence", "value", "unit", "source_snippet", "source_page", "flags"]
     lines = from_lines.join(from_tables.select("report_id", "kpi"), ["report_id", "kpi"], "left_anti")
     found = from_tables.select("report_id", "kpi", *facts).unionByName(lines.select("report_id", "kpi", *facts))
-    every = reports.select(*REPORT).join(F.broadcast(kpis.select("kpi")))
+    every = reports.select(*REPORT).join(bounded(kpis.select("kpi"), "the list of indicators"))
     joined = every.join(found, ["report_id", "kpi"], "left")
     empty = F.array().cast("array<string>")
     if tainted is not None:

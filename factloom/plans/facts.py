@@ -10,13 +10,12 @@ from factloom import registry
 from factloom.functions import numbers, tablecells, text, units
 from factloom.operators import comparison, evaluation, model, ranking, rules
 from factloom.operators.extractor import RuleExtractor, rank_pages
-from factloom.session import table
+from factloom.session import bounded, small, table
 from factloom.sources import reports
 
 CELL_TRIM = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}]"
 ALIASES = ", ".join(f"('{a}', '{u}')" for a, u in registry.UNIT_ALIASES.items())
 FACTORS = ", ".join(f"('{a}', '{b}', {f!r}::double)" for (a, b), f in registry.CONVERSIONS.items())
-ENTRIES = ["report_id", "table_id"]
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,14 +48,14 @@ def unit_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values in the canonical unit of their indicator by the plain conversion."""
-    facts = table(spark, sf_dir, "extractions").join(F.broadcast(table(spark, sf_dir, "kpis").select("kpi", "canonical_unit").limit(10_000)), "kpi")
+    facts = table(spark, sf_dir, "extractions").join(small(table(spark, sf_dir, "kpis").select("kpi", "canonical_unit")), "kpi")
     return facts.select("extraction_id", units.to_canonical_value(F.col("value"), F.col("unit"), F.col("canonical_unit")).alias("canonical_value")).where("canonical_value is not null")
 
 
 def parse_value_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value and unit read from snippets."""
-    known = table(spark, sf_dir, "kpis").select("kpi", units.family(F.col("unit_family")).alias("accepted")).limit(10_000)
-    facts = table(spark, sf_dir, "extractions").where("source_snippet is not null").select("extraction_id", "kpi", "source_snippet").join(F.broadcast(known), "kpi")
+    known = table(spark, sf_dir, "kpis").select("kpi", units.family(F.col("unit_family")).alias("accepted"))
+    facts = table(spark, sf_dir, "extractions").where("source_snippet is not null").select("extraction_id", "kpi", "source_snippet").join(small(known), "kpi")
     read = facts.withColumn("p", units.parse_value(F.col("source_snippet"), F.col("accepted"))).where("p.unit is not null")
     return read.select("extraction_id", "p.value", "p.unit")
 
@@ -92,8 +91,8 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three stated queries: the first three sentences that have a vector."""
-    held = table(spark, sf_dir, "sentences").where("embedding is not null").orderBy("sentence_id").limit(3)
+    """The stated query set: every fiftieth sentence that has a vector."""
+    held = table(spark, sf_dir, "sentences").where("embedding is not null and sentence_id % 50 = 0")
     return held.select(F.col("sentence_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
@@ -108,18 +107,18 @@ def page_max_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by the fusion of three rankings."""
+    """Pages by the fusion of the rankings by all queries."""
     fused = ranking.reciprocal_rank_fusion(ranking.ranked(_similarity(spark, sf_dir), ["query_id", "report_id"], 6), ["report_id"])
     return fused.select("report_id", "page_num", F.round("score", 9).alias("score"))
 
 
 def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 25 pages of each report by fusion of vectors and words of the water indicator."""
+    """The first 25 pages of each report for every indicator by fusion of vectors and the indicator's words."""
     fused = ranking.reciprocal_rank_fusion(ranking.ranked(_similarity(spark, sf_dir), ["query_id", "report_id"], 6), ["report_id"])
-    words = ranking.bm25(_pages(spark, sf_dir), _kpi_words(spark, sf_dir).where("query_id = 'water_consumption'"))
-    lexical = words.select("report_id", "page_num", F.round("score", 6).alias("score"))
-    found = ranking.hybrid(fused, lexical, ["report_id"], top=registry.RULE_PAGES, decimals=6)
-    return found.select("report_id", "page_num", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    lexical = ranking.bm25(_pages(spark, sf_dir), _kpi_words(spark, sf_dir)).select(F.col("query_id").alias("kpi"), "report_id", "page_num", F.round("score", 6).alias("score"))
+    every = fused.join(bounded(table(spark, sf_dir, "kpis").select("kpi"), "the list of indicators"))
+    found = ranking.hybrid(every, lexical, ["report_id", "kpi"], top=registry.RULE_PAGES, decimals=6)
+    return found.select("report_id", "kpi", "page_num", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def majority_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,9 +128,9 @@ def majority_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heading_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by their headings, and whether these hold a phrase of an indicator."""
-    phrases = table(spark, sf_dir, "kpis").where("page_negative_phrases is not null").select("kpi", "page_negative_phrases").limit(10_000)
+    phrases = table(spark, sf_dir, "kpis").where("page_negative_phrases is not null").select("kpi", "page_negative_phrases")
     heads = table(spark, sf_dir, "report_pages").select("page_id", text.heading_text(F.col("text")).alias("heading")).where("heading != ''")
-    return heads.join(F.broadcast(phrases)).select("page_id", "kpi", "heading", text.holds_any(F.col("heading"), F.col("page_negative_phrases")).alias("rejected"))
+    return heads.join(bounded(phrases, "the list of phrases")).select("page_id", "kpi", "heading", text.holds_any(F.col("heading"), F.col("page_negative_phrases")).alias("rejected"))
 
 
 def section_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,10 +149,10 @@ def year_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of table rows scored for every indicator they have words of."""
     labels = table(spark, sf_dir, "report_tables").select("table_id", F.posexplode("rows").alias("row_idx", "row")).where("size(row) > 0").select("table_id", "row_idx", tablecells.label_cell(F.col("row")).alias("label"))
-    asked = table(spark, sf_dir, "kpis").select("kpi", "query", "negative_tokens", text.tokens(F.col("query")).alias("wanted")).limit(10_000)
+    asked = table(spark, sf_dir, "kpis").select("kpi", "query", "negative_tokens", text.tokens(F.col("query")).alias("wanted"))
     score = tablecells.row_score(F.col("query"), F.col("label"), F.col("wanted"), F.col("held"))
     # Labels repeat over tables, so each is scored once per indicator.
-    pairs = labels.select("label").distinct().withColumn("held", text.tokens(F.col("label"))).join(F.broadcast(asked))
+    pairs = labels.select("label").distinct().withColumn("held", text.tokens(F.col("label"))).join(bounded(asked, "the list of indicators"))
     scored = pairs.where(~text.holds_any(F.lower("label"), F.col("negative_tokens"))).select("label", "kpi", F.round(score, 6).alias("score")).where("score > 0")
     return labels.join(scored, "label").select("table_id", "row_idx", "kpi", "score")
 
@@ -165,9 +164,9 @@ def header_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of pages that pass the gates of an indicator, with their share of its words."""
-    known = table(spark, sf_dir, "kpis").select("kpi", "negative_tokens", text.keywords(F.col("queries")).alias("words")).limit(10_000)
+    known = table(spark, sf_dir, "kpis").select("kpi", "negative_tokens", text.keywords(F.col("queries")).alias("words"))
     lines = table(spark, sf_dir, "report_pages").where("text is not null").select("page_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "line")).withColumn("line", F.lower(F.trim("line"))).where("length(line) >= 10")
-    joined = lines.join(F.broadcast(known)).withColumn("share", F.round(text.keyword_share(F.col("line"), F.col("words")), 6))
+    joined = lines.join(bounded(known, "the list of indicators")).withColumn("share", F.round(text.keyword_share(F.col("line"), F.col("words")), 6))
     return joined.where((F.col("share") >= registry.LEAST_KEYWORD_SHARE) & ~text.holds_any(F.col("line"), F.col("negative_tokens"))).select("page_id", "kpi", "line_idx", "share")
 
 
@@ -198,9 +197,9 @@ def extract_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of two indicators for every report."""
-    passages = model.context(_pages(spark, sf_dir), table(spark, sf_dir, "report_tables"), _ranking(spark, sf_dir).where("kpi in ('water_consumption', 'scope_1_emissions')"))
-    asked = passages.join(table(spark, sf_dir, "reports").select("report_id", "company", "report_year"), "report_id").join(F.broadcast(table(spark, sf_dir, "kpis").select("kpi", "query", "unit_family").limit(10_000)), "kpi")
+    """Prompts of every indicator for every report."""
+    passages = model.context(_pages(spark, sf_dir), table(spark, sf_dir, "report_tables"), _ranking(spark, sf_dir))
+    asked = passages.join(table(spark, sf_dir, "reports").select("report_id", "company", "report_year"), "report_id").join(small(table(spark, sf_dir, "kpis").select("kpi", "query", "unit_family")), "kpi")
     user = model.user_prompt(F.col("query"), F.col("unit_family"), F.col("context"))
     asked = asked.withColumn("user", user).withColumn("system", F.lit(model.SYSTEM_PROMPT))
     return asked.withColumn("cache_key", model.cache_key("replay", F.col("kpi"), model.SYSTEM_PROMPT, F.col("user")))
@@ -240,9 +239,10 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kpi_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Companies by indicators with the latest values of three of them."""
+    """Companies by all indicators with their latest values."""
     facts = table(spark, sf_dir, "extractions").select("company", "kpi", "report_year", "value", "extraction_id")
-    return comparison.grid(facts, [k["kpi"] for k in registry.KPIS], "extraction_id")
+    names = [r["kpi"] for r in bounded(table(spark, sf_dir, "kpis").select("kpi"), "the list of indicators", 1_000).orderBy("kpi").collect()]
+    return comparison.grid(facts, names, "extraction_id")
 
 
 def _first_runs(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -250,10 +250,16 @@ def _first_runs(spark: SparkSession, sf_dir: str) -> list[str]:
 
 
 def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of two extractors in the first two runs side by side."""
+    """Values of all extractors in two runs side by side; which two is the operator's parameter, here the first."""
     facts = table(spark, sf_dir, "extractions")
     runs = _first_runs(spark, sf_dir)
-    return comparison.run_comparison([comparison.run_columns(facts.where(F.col("run_tag") == tag), f"run{i}", ["baseline", "llm"], "extraction_id") for i, tag in enumerate(runs, 1)])
+    names = [r["extractor"] for r in bounded(table(spark, sf_dir, "extractor_trust").select("extractor"), "the list of extractors", 1_000).orderBy("extractor").collect()]
+    return comparison.run_comparison([comparison.run_columns(facts.where(F.col("run_tag") == tag), f"run{i}", names, "extraction_id") for i, tag in enumerate(runs, 1)])
+
+
+def run_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of all runs and extractors in long form."""
+    return comparison.run_values(table(spark, sf_dir, "extractions"), "extraction_id")
 
 
 def best_of_either(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +267,7 @@ def best_of_either(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.best_of_either(_judged(spark, sf_dir), ["baseline", "llm"])
 
 
-QUERIES = {f.__name__: f for f in (parse_number_cells, unit_canonical, unit_robust, unit_convert, parse_value_snippets, co2_normalised, sentence_split, token_counts, bm25_scores, cosine_topk, page_max_similarity, rrf_fusion, hybrid_rank, majority_empty, heading_filter, section_fill, year_columns, row_scores, header_strings, keyword_lines, table_facts, line_facts, extract_end_to_end, context_build, model_replay, evaluate_slices, macro_f1, latest_per_key, kpi_pivot, run_comparison, best_of_either)}
+QUERIES = {f.__name__: f for f in (parse_number_cells, unit_canonical, unit_robust, unit_convert, parse_value_snippets, co2_normalised, sentence_split, token_counts, bm25_scores, cosine_topk, page_max_similarity, rrf_fusion, hybrid_rank, majority_empty, heading_filter, section_fill, year_columns, row_scores, header_strings, keyword_lines, table_facts, line_facts, extract_end_to_end, context_build, model_replay, evaluate_slices, macro_f1, latest_per_key, kpi_pivot, run_comparison, run_values, best_of_either)}
 
 _CELLS = """
 r as (select table_id, generate_subscripts(rows, 1) - 1 as row_idx, unnest(rows) as "row" from report_tables)
@@ -291,7 +297,7 @@ bm as (
 """
 _SIM = f"""
 {_PAGES},
-qv as (select sentence_id as query_id, embedding::double[] as v from sentences where embedding is not null order by sentence_id limit 3),
+qv as (select sentence_id as query_id, embedding::double[] as v from sentences where embedding is not null and sentence_id % 50 = 0),
 best as (
   select query_id, report_id, page_num, max(list_cosine_similarity(embedding::double[], v)) as s
   from sentences cross join qv where embedding is not null and page_num is not null group by all),
@@ -343,6 +349,15 @@ scored as (select extractor, kpi, tp, fp, fn, tn, round(p, 9) as precision, roun
 """
 )
 
+# The indicators and extractors of the test tables, for the SQL.
+ALL_KPIS = "hazardous_waste nox_emissions purchased_electricity renewable_energy restored_land scope_1_emissions scope_2_emissions scope_3_emissions total_energy_consumption waste_generated water_consumption water_withdrawal".split()
+ALL_EXTRACTORS = "baseline llm llm_large manual_review regex_legacy".split()
+
+
+def _run_columns(i: int) -> str:
+    return ", ".join(f"arg_min(value, extraction_id) filter (extractor = '{e}') as run{i}_{e}_value" for e in ALL_EXTRACTORS)
+
+
 ORACLE = {
     "parse_number_cells": f"""
 with {_CELLS}, c as (select table_id, row_idx, generate_subscripts("row", 1) - 1 as col_idx, unnest("row") as cell from r),
@@ -377,11 +392,11 @@ select query_id, vec_id, score, rank from r where rank <= 5""",
     "rrf_fusion": f"with {_SIM} select report_id, page_num, round(score, 9)::double as score from fused",
     "hybrid_rank": f"""
 with {_BM25}, {_SIM.replace(_PAGES + ',', '', 1)},
-b as (select f.report_id, f.page_num, f.page_pos, f.score as a, bm.score as b from fused f join bm on bm.query_id = 'water_consumption' and bm.report_id = f.report_id and bm.page_num is not distinct from f.page_num),
-m as (select *, min(a) over w as la, max(a) over w as ha, min(b) over w as lb, max(b) over w as hb from b window w as (partition by report_id)),
-h as (select report_id, page_num, page_pos, 0.5::double * (case when ha - la < 1e-12 then 0 else (a - la) / (ha - la) end) + 0.5::double * (case when hb - lb < 1e-12 then 0 else (b - lb) / (hb - lb) end) as score from m),
-k as (select *, row_number() over (partition by report_id order by round(score, 6) desc, page_pos) - 1 as rank from h)
-select report_id, page_num, round(score, 6)::double as score, rank from k where rank < 25""",
+b as (select f.report_id, bm.query_id as kpi, f.page_num, f.page_pos, f.score as a, bm.score as b from fused f join bm on bm.report_id = f.report_id and bm.page_num is not distinct from f.page_num),
+m as (select *, min(a) over w as la, max(a) over w as ha, min(b) over w as lb, max(b) over w as hb from b window w as (partition by report_id, kpi)),
+h as (select report_id, kpi, page_num, page_pos, 0.5::double * (case when ha - la < 1e-12 then 0 else (a - la) / (ha - la) end) + 0.5::double * (case when hb - lb < 1e-12 then 0 else (b - lb) / (hb - lb) end) as score from m),
+k as (select *, row_number() over (partition by report_id, kpi order by round(score, 6) desc, page_pos) - 1 as rank from h)
+select report_id, kpi, page_num, round(score, 6)::double as score, rank from k where rank < 25""",
     "majority_empty": f"""
 with c as (select report_id, length(regexp_replace(regexp_replace(coalesce(text, ''), '^{CELL_TRIM}+', ''), '{CELL_TRIM}+$', '')) >= 100 as s from report_pages)
 select report_id, count(*) as pages, count(*) filter (s) as substantive, count(*) filter (s) < 0.5 * count(*) as majority_empty from c group by report_id""",
@@ -429,15 +444,16 @@ select extraction_id, case when answered and value is not null and flag is null
     "kpi_pivot": """
 with l as (select * from extractions qualify row_number() over (partition by company, kpi order by report_year desc nulls last, extraction_id) = 1)
 select company, """
-    + ", ".join(f"max(case when kpi = '{k['kpi']}' then value end) as {k['kpi']}" for k in registry.KPIS)
+    + ", ".join(f"max(case when kpi = '{k}' then value end) as {k}" for k in ALL_KPIS)
     + " from l group by company",
-    "run_comparison": """
+    "run_comparison": f"""
 with t as (select distinct run_tag from extractions where run_tag is not null order by run_tag limit 2),
 n as (select run_tag, row_number() over (order by run_tag) as i from t),
 f as (select e.*, n.i from extractions e join n using (run_tag) where value is not null),
-a as (select company, report_year, kpi, arg_min(value, extraction_id) filter (extractor = 'baseline') as run1_baseline_value, arg_min(value, extraction_id) filter (extractor = 'llm') as run1_llm_value from f where i = 1 group by all),
-b as (select company, report_year, kpi, arg_min(value, extraction_id) filter (extractor = 'baseline') as run2_baseline_value, arg_min(value, extraction_id) filter (extractor = 'llm') as run2_llm_value from f where i = 2 group by all)
+a as (select company, report_year, kpi, {_run_columns(1)} from f where i = 1 group by all),
+b as (select company, report_year, kpi, {_run_columns(2)} from f where i = 2 group by all)
 select * from a full join b using (company, report_year, kpi)""",
+    "run_values": "select run_tag, extractor, company, report_year, kpi, arg_min(value, extraction_id) as value from extractions where value is not null group by all",
     "best_of_either": f"""
 with {_OUTCOMES}, c as (select kpi, company, report_year, bool_or(outcome in ('tp', 'tn')) as ok from o where extractor in ('baseline', 'llm') group by all)
 select kpi, count(*) filter (ok) as "right", count(*) as labels from c group by kpi""",

@@ -49,6 +49,13 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def bounded(df: DataFrame, what: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, a parameter table that every row is compared with, marked for broadcast; more than `limit` rows are an error, never cut."""
+    if not fits_broadcast(df, limit):
+        raise ValueError(f"{what} has more than {limit:,} rows")
+    return F.broadcast(df)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df` marked for broadcast if it has at most `limit` rows; a larger one is whole too and joined as the planner sees fit."""
     return F.broadcast(df) if fits_broadcast(df, limit) else df
