@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -55,3 +57,19 @@ def similarities(queries: np.ndarray):
         return pd.Series(list(rows @ unit.T))
 
     return run
+
+
+Embedder = Callable[[Column], Column]
+EMBEDDERS: dict[str, Embedder] = {"token-slots": embedding}
+
+
+def register_embedder(name: str, embedder: Embedder) -> None:
+    """Makes an embedder, a function from a text column to a vector column, known by name."""
+    EMBEDDERS[name] = embedder
+
+
+def embedder(name: str) -> Embedder:
+    """The embedder of that name; an unknown one is an error."""
+    if name not in EMBEDDERS:
+        raise ValueError(f"unknown embedder {name!r}")
+    return EMBEDDERS[name]

@@ -183,5 +183,5 @@ def extract(reports: DataFrame, kpis: DataFrame, from_tables: DataFrame, from_li
         joined = joined.join(tainted.select("report_id", "kpi", F.lit(True).alias("_t")).distinct(), ["report_id", "kpi"], "left")
         empty = F.when(F.col("_t"), F.array(F.lit("out_of_range"))).otherwise(empty)
     return joined.select(
-        "company", "report_year", "kpi", "value", "unit", F.when(F.col("value").isNotNull(), F.col("report_year")).alias("reporting_year"), "source_snippet", "source_page", "confidence", F.lit(name).alias("extractor"), F.coalesce("flags", empty).alias("flags"), F.lit(None).cast("string").alias("run_tag")
+        "report_id", "company", "report_year", "kpi", "value", "unit", F.when(F.col("value").isNotNull(), F.col("report_year")).alias("reporting_year"), "source_snippet", "source_page", "confidence", F.lit(name).alias("extractor"), F.coalesce("flags", empty).alias("flags"), F.lit(None).cast("string").alias("run_tag")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 from factloom import registry
 from factloom.functions import numbers, tablecells, text, units
 from factloom.operators import comparison, evaluation, model, ranking, rules
-from factloom.operators.extractor import RuleExtractor, rank_pages
-from factloom.session import bounded, small, table
+from factloom.operators.extractor import ModelExtractor, RuleExtractor, rank_pages
+from factloom.session import bounded, shared_folder, small, table
 from factloom.sources import reports
 
 CELL_TRIM = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}]"
@@ -198,16 +200,28 @@ def extract_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts of every indicator for every report."""
-    passages = model.context(_pages(spark, sf_dir), table(spark, sf_dir, "report_tables"), _ranking(spark, sf_dir))
-    asked = passages.join(table(spark, sf_dir, "reports").select("report_id", "company", "report_year"), "report_id").join(small(table(spark, sf_dir, "kpis").select("kpi", "query", "unit_family")), "kpi")
-    user = model.user_prompt(F.col("query"), F.col("unit_family"), F.col("context"))
-    asked = asked.withColumn("user", user).withColumn("system", F.lit(model.SYSTEM_PROMPT))
-    return asked.withColumn("cache_key", model.cache_key("replay", F.col("kpi"), model.SYSTEM_PROMPT, F.col("user")))
+    t = lambda name: table(spark, sf_dir, name)
+    passages = model.context(_pages(spark, sf_dir), t("report_tables"), _ranking(spark, sf_dir))
+    return model.requests(t("reports"), passages, t("kpis"), "replay")
 
 
 def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts with their keys: pages retrieved, length, and key."""
-    return _requests(spark, sf_dir).select("company", "report_year", "kpi", "retrieved_pages", F.length("user").alias("chars"), "cache_key")
+    return _requests(spark, sf_dir).select("report_id", "company", "report_year", "kpi", "retrieved_pages", F.length("user").alias("chars"), "cache_key")
+
+
+def model_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the model extractor for every report and indicator, asked through a client that answers from the recorded extractions.
+
+    The client knows the latest record of each indicator; it goes the whole way of prompts,
+    response layer, calls and validation.
+    """
+    t = lambda name: table(spark, sf_dir, name)
+    latest = t("extractions").where("extractor = 'llm'").groupBy("kpi").agg(F.max(F.struct("extraction_id", "value", "unit", "reporting_year", "source_snippet", "confidence")).alias("r"))
+    names = bounded(latest.select("kpi", "r.value", "r.unit", "r.reporting_year", "r.source_snippet", "r.confidence"), "the list of indicators")
+    recorded = {r["kpi"]: {k: r[k] for k in ("value", "unit", "reporting_year", "source_snippet", "confidence")} for r in names.collect()}
+    extractor = ModelExtractor(model.Provider("replay", "replay", 0.0), model.replay(recorded), f"{shared_folder(spark)}/responses/{uuid.uuid4().hex}", lanes=8)
+    return extractor(t("reports"), _pages(spark, sf_dir), t("report_tables"), t("kpis"), t("sentences")).select("report_id", "kpi", "value", "unit", F.get("flags", F.lit(0)).alias("flag"))
 
 
 def model_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +281,7 @@ def best_of_either(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.best_of_either(_judged(spark, sf_dir), ["baseline", "llm"])
 
 
-QUERIES = {f.__name__: f for f in (parse_number_cells, unit_canonical, unit_robust, unit_convert, parse_value_snippets, co2_normalised, sentence_split, token_counts, bm25_scores, cosine_topk, page_max_similarity, rrf_fusion, hybrid_rank, majority_empty, heading_filter, section_fill, year_columns, row_scores, header_strings, keyword_lines, table_facts, line_facts, extract_end_to_end, context_build, model_replay, evaluate_slices, macro_f1, latest_per_key, kpi_pivot, run_comparison, run_values, best_of_either)}
+QUERIES = {f.__name__: f for f in (parse_number_cells, unit_canonical, unit_robust, unit_convert, parse_value_snippets, co2_normalised, sentence_split, token_counts, bm25_scores, cosine_topk, page_max_similarity, rrf_fusion, hybrid_rank, majority_empty, heading_filter, section_fill, year_columns, row_scores, header_strings, keyword_lines, table_facts, line_facts, extract_end_to_end, context_build, model_facts, model_replay, evaluate_slices, macro_f1, latest_per_key, kpi_pivot, run_comparison, run_values, best_of_either)}
 
 _CELLS = """
 r as (select table_id, generate_subscripts(rows, 1) - 1 as row_idx, unnest(rows) as "row" from report_tables)
@@ -438,6 +452,14 @@ k as (select e.*, s.canonical as source, coalesce(t.canonical, canonical_unit) a
 v as (select k.*, case when source = target then value else value * factor end as v from k left join f on f.a = source and f.b = target),
 r as (select *, case when not answered then 'api_error' when value is null then null when unit is null then 'llm_missing_unit' when source is null or v is null then 'unit_unknown' when not v between lo and hi then 'out_of_range' end as flag from v)
 select extraction_id, case when answered and value is not null and flag is null then v end as value, case when answered and value is not null and flag is null then canonical_unit end as unit, flag from r""",
+    "model_facts": f"""
+with a(alias, canonical) as (values {ALIASES}), f(a, b, factor) as (values {FACTORS}),
+l as (select * from extractions where extractor = 'llm' qualify row_number() over (partition by kpi order by extraction_id desc) = 1),
+e as (select kpis.kpi, l.kpi is not null as answered, value, unit, canonical_unit, lo, hi, lower(regexp_replace(trim(unit), '[.,;:]+$', '')) as u from kpis left join l on l.kpi = kpis.kpi),
+k as (select e.*, s.canonical as source, coalesce(t.canonical, canonical_unit) as target from e left join a s on s.alias = e.u left join a t on t.alias = lower(canonical_unit)),
+v as (select k.*, case when source = target then value else value * factor end as v from k left join f on f.a = source and f.b = target),
+r as (select *, case when not answered then 'api_error' when value is null then null when unit is null then 'llm_missing_unit' when source is null or v is null then 'unit_unknown' when not v between lo and hi then 'out_of_range' end as flag from v)
+select report_id, kpi, case when value is not null and flag is null then v end as value, case when value is not null and flag is null then canonical_unit end as unit, flag from reports cross join r""",
     "evaluate_slices": f"with {_SCORES} select * from scored",
     "macro_f1": f"with {_SCORES} select extractor, sum(tp)::bigint as tp, round(avg(f1), 9) as macro_f1 from scored group by extractor",
     "latest_per_key": "select company, kpi, report_year, value, extraction_id from extractions qualify row_number() over (partition by company, kpi order by report_year desc nulls last, extraction_id) = 1",

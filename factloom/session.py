@@ -49,6 +49,12 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder `path` on whatever file system it names."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
 def bounded(df: DataFrame, what: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, a parameter table that every row is compared with, marked for broadcast; more than `limit` rows are an error, never cut."""
     if not fits_broadcast(df, limit):

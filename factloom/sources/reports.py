@@ -8,14 +8,18 @@ marked-up text; layout parsers need libraries of their own.
 from __future__ import annotations
 
 import html
+import os
 import re
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import registry
+from factloom.session import exists, written
 
 # How a file's name gives its key, and limits of the heavy parser.
 FILE_NAME = r"(?i)^(.+)_(\d{4})\.[a-z0-9]+$"
@@ -23,7 +27,7 @@ MOST_BYTES = 100 * 1024 * 1024
 PAGE_BATCH = 20
 GOLD = "company string, report_year int, kpi string, value double, unit string, reporting_year int, source_page int, notes string"
 FACTS = "company string, report_year int, kpi string, value double, unit string, reporting_year int, source_snippet string, source_page int, confidence double, extractor string, flags string, run_tag string"
-PARSED = "path string, company string, report_year int, parser string, pages array<struct<page_num:int,text:string>>, tables array<struct<page_num:int,headers:array<string>,rows:array<array<string>>>>, error string"
+PARSED = "path string, company string, report_year int, parser string, pages array<struct<page_num:int,text:string>>, tables array<struct<page_num:int,headers:array<string>,rows:array<array<string>>>>, seconds double, error string"
 Parser = Callable[[bytes], tuple[list[tuple[int, str]], list[tuple[int, list[str], list[list[str]]]]]]
 
 
@@ -43,7 +47,7 @@ def parse(files: DataFrame, parser: Parser, name: str, most_bytes: int | None =
         for batch in batches:
             rows = []
             for path, content, company, year in zip(batch["path"], batch["content"], batch["company"], batch["report_year"], strict=True):
-                error, pages, tables = None, [], []
+                error, pages, tables, begun = None, [], [], time.perf_counter()
                 if company is None or pd.isna(year):
                     error = "file name isn't company_year"
                 elif most_bytes is not None and len(content) > most_bytes:
@@ -53,8 +57,8 @@ def parse(files: DataFrame, parser: Parser, name: str, most_bytes: int | None =
                         pages, tables = parser(bytes(content))
                     except Exception as e:  # noqa: BLE001
                         error = f"{type(e).__name__}: {e}"[:500]
-                rows.append((path, company, None if pd.isna(year) else int(year), name, [{"page_num": n, "text": t or ""} for n, t in pages], [{"page_num": n, "headers": h, "rows": r} for n, h, r in tables], error))
-            out = pd.DataFrame(rows, columns=["path", "company", "report_year", "parser", "pages", "tables", "error"])
+                rows.append((path, company, None if pd.isna(year) else int(year), name, [{"page_num": n, "text": t or ""} for n, t in pages], [{"page_num": n, "headers": h, "rows": r} for n, h, r in tables], time.perf_counter() - begun, error))
+            out = pd.DataFrame(rows, columns=["path", "company", "report_year", "parser", "pages", "tables", "seconds", "error"])
             out["report_year"] = out["report_year"].astype("Int32")
             yield out
 
@@ -129,28 +133,69 @@ def fresh(cached: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(held, "path", "left").where(F.col("parsed_at").isNull() | (F.col("parsed_at") < F.col("modified"))).drop("parsed_at")
 
 
-def pages_of(parsed: DataFrame) -> DataFrame:
-    """(company, report_year, parser, page_pos, page_num, text)."""
-    return parsed.select("company", "report_year", "parser", F.posexplode("pages").alias("page_pos", "p")).select("company", "report_year", "parser", "page_pos", "p.page_num", "p.text")
+@dataclass(frozen=True)
+class ParserChoice:
+    """A parser by name, and the most bytes it takes, if that is limited."""
 
+    name: str
+    parse: Parser
+    most_bytes: int | None = None
 
-def tables_of(parsed: DataFrame) -> DataFrame:
-    """(company, report_year, parser, table_idx, page_num, headers, rows)."""
-    return parsed.select("company", "report_year", "parser", F.posexplode("tables").alias("table_idx", "t")).select("company", "report_year", "parser", "table_idx", "t.page_num", "t.headers", "t.rows")
+
+def enabled(choices: Sequence[ParserChoice]) -> list[ParserChoice]:
+    """`choices` without those that FACTLOOM_DISABLED_PARSERS names, parted by commas."""
+    disabled = {n.strip() for n in os.environ.get("FACTLOOM_DISABLED_PARSERS", "").split(",")}
+    return [c for c in choices if c.name not in disabled]
+
+
+def dispatched(spark: SparkSession, folder: str, pattern: str, choices: Sequence[ParserChoice], layer: str, only: str | None = None) -> DataFrame:
+    """PARSED of every file of `folder` by the first of `choices` whose result has no error and isn't mostly empty, else the last.
+
+    Results are kept in the parsed layer, and only files that are newer than what it holds
+    are parsed. With `only` the layer's results of other parsers don't count.
+    """
+    usable = [c for c in enabled(choices) if only is None or c.name == only]
+    if not usable:
+        raise ValueError("no parser is left")
+    files = scan(spark, folder, pattern)
+    held = spark.read.schema(f"{PARSED}, parsed_at timestamp").parquet(layer) if exists(spark, layer) else spark.createDataFrame([], f"{PARSED}, parsed_at timestamp")
+    held = held.where(F.col("parser").isin(*[c.name for c in usable]))
+    stale = files if held.isEmpty() else fresh(held, files)
+    found: DataFrame | None = None
+    for choice in usable:
+        own = stale if found is None else stale.join(found.where(F.col("error").isNull() & ~majority_empty(F.col("pages"))).select("path"), "path", "left_anti")
+        result = written(parse(own, choice.parse, choice.name, choice.most_bytes))
+        found = result if found is None else with_fallback(found, result)
+    fresh_rows = written(found)
+    fresh_rows.withColumn("parsed_at", F.current_timestamp()).write.mode("append").parquet(layer)
+    names = [c.split()[0] for c in re.sub(r"<.*?>+", "", PARSED).split(", ")]
+    latest = held.groupBy("path").agg(F.max_by(F.struct(*names[1:]), "parsed_at").alias("r")).select("path", "r.*")
+    kept = latest.join(stale.select("path"), "path", "left_anti").join(files.select("path"), "path", "left_semi")
+    return fresh_rows.select(*names).unionByName(kept.select(*names))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+def timings(parsed: DataFrame) -> DataFrame:
+    """(path, parser, n_pages, n_tables, parse_s, error) of each file."""
+    return parsed.select("path", "parser", F.size("pages").alias("n_pages"), F.size("tables").alias("n_tables"), F.col("seconds").alias("parse_s"), "error")
+
+
+def pages_of(parsed: DataFrame) -> DataFrame:
+    """(path, company, report_year, parser, page_pos, page_num, text)."""
+    return parsed.select("path", "company", "report_year", "parser", F.posexplode("pages").alias("page_pos", "p")).select("path", "company", "report_year", "parser", "page_pos", "p.page_num", "p.text")
+
+
+def tables_of(parsed: DataFrame) -> DataFrame:
+    """(path, company, report_year, parser, table_idx, page_num, headers, rows)."""
+    return parsed.select("path", "company", "report_year", "parser", F.posexplode("tables").alias("table_idx", "t")).select("path", "company", "report_year", "parser", "table_idx", "t.page_num", "t.headers", "t.rows")
 
 
 def gold_labels(spark: SparkSession, path: str) -> DataFrame:
     """Labels of a CSV file; blank is NULL, a missing file has none."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], GOLD)
     return spark.read.schema(GOLD).csv(path, header=True, multiLine=True, escape='"')
 
 
 def run_facts(spark: SparkSession, path: str) -> DataFrame | None:
     """Facts of a run's CSV file, whose snippets may hold line breaks; None if it is missing."""
-    return spark.read.schema(FACTS).csv(path, header=True, multiLine=True, escape='"') if _exists(spark, path) else None
+    return spark.read.schema(FACTS).csv(path, header=True, multiLine=True, escape='"') if exists(spark, path) else None

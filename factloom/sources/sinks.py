@@ -23,10 +23,8 @@ def write_timings(timings: DataFrame, folder: str, run_tag: str) -> None:
 
 
 def write_prompt_log(log: DataFrame, folder: str, run_tag: str) -> None:
-    """Log entries (path, json), one line each, in parts."""
-    log.select("json").write.mode("overwrite").text(f"{folder}/{run_tag}/prompt_log")
+    """Log entries (path, json), one file per key of company, year and indicator; a key logged twice keeps one of them."""
+    parts = log.groupBy("path").agg(F.max("json").alias("json"))
+    parts.write.mode("overwrite").partitionBy("path").text(f"{folder}/{run_tag}/prompt_log")
 
 
-def write_parsed(parsed: DataFrame, folder: str) -> None:
-    """A parsed layer, parted by company, year and parser."""
-    parsed.withColumn("parsed_at", F.current_timestamp()).write.mode("append").partitionBy("company", "report_year", "parser").parquet(folder)

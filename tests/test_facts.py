@@ -111,5 +111,59 @@ def test_pipeline(spark, tmp_path):
     facts = {r["kpi"]: r for r in pipeline.run(spark, str(folder), str(tmp_path / "out"), "v1", str(tmp_path / "gold.csv")).collect()}
     assert facts["scope_1_emissions"]["value"] == 45678.0 and facts["scope_1_emissions"]["run_tag"] == "v1"
     assert facts["water_consumption"]["value"] == 1234.0 and facts["total_energy_consumption"]["value"] is None
+    again = pipeline.run(spark, str(folder), str(tmp_path / "out"), "v0").count()
+    assert again == len(facts) and spark.read.parquet(str(tmp_path / "out/parsed")).count() == 2
     metrics = {r["kpi"]: r for r in spark.read.parquet(str(tmp_path / "out/v1/metrics")).collect()}
     assert metrics["scope_1_emissions"]["tp"] == 1 and metrics["water_consumption"]["fp"] == 1
+
+
+def test_pipeline_of_two_extractors(spark, tmp_path):
+    from factloom import pipeline
+    from factloom.operators.extractor import ModelExtractor, RuleExtractor
+
+    folder = tmp_path / "reports"
+    (folder / "more").mkdir(parents=True)
+    table = "<table><tr><th>KPI</th><th>2023</th><th>Unit</th></tr><tr><td>Scope 1 direct greenhouse gas emissions</td><td>{}</td><td>tCO2e</td></tr></table>"
+    for name, value in (("acme_2024", "45,678"), ("acme_2023", "40,000")):
+        (folder / f"{name}.html").write_text(f"<p>{'Scope 1 emissions of the group. ' * 8}</p>{table.format(value)}", encoding="utf-8")
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def client(kpi, system, user):
+        (calls / f"{kpi}-{abs(hash(user))}").touch()
+        return {"value": 45.678, "unit": "ktCO2e", "confidence": 0.9} if kpi == "scope_1_emissions" else {"value": None, "confidence": 0.1}
+
+    def heavy(content):
+        raise OSError("no layout")
+
+    parsers = (reports.ParserChoice("heavy", heavy, reports.MOST_BYTES), reports.ParserChoice("markup", reports.markup_parser))
+    asker = ModelExtractor(model.Provider("p", "m", 0.0), client, str(tmp_path / "responses"), lanes=2)
+    run = lambda tag: pipeline.run(spark, str(folder), str(tmp_path / "out"), tag, parsers=parsers, extractors=(RuleExtractor(), asker)).collect()
+    facts = run("v1")
+    assert len(facts) == 12
+    got = {(r["extractor"], r["report_year"]): r["value"] for r in facts if r["kpi"] == "scope_1_emissions"}
+    assert got == {("baseline", 2024): 45678.0, ("baseline", 2023): 40000.0, ("llm", 2024): 45678.0, ("llm", 2023): 45678.0}
+    assert len(list(calls.iterdir())) == 6
+    for made in calls.iterdir():
+        made.unlink()
+    assert len(run("v2")) == 12 and not list(calls.iterdir())
+    assert {r["parser"] for r in spark.read.csv(str(tmp_path / "out/v1/parse_timings"), header=True).collect()} == {"markup"}
+    assert len(list((tmp_path / "out/v1/prompt_log").glob("path=*"))) == 6
+    both = pipeline.compared(spark, str(tmp_path / "out"), ["v1", "v2", "none"])
+    assert {"v1_llm_value", "v2_baseline_value"} <= set(both.columns) and both.count() == 2
+    assert reports.enabled(parsers) == list(parsers)
+
+
+def test_index_layer(spark, tmp_path):
+    from factloom.functions import vectors
+    from factloom.operators.extractor import index_layer
+
+    pages = spark.createDataFrame([(1, 1, "One here. Two there."), (1, 2, None), (2, 1, "Three.")], "report_id long, page_num int, text string")
+    tables = spark.createDataFrame([(1, 5, 1, ["", "2024"], [["Water", "5"]])], "report_id long, table_id long, page_num int, headers array<string>, rows array<array<string>>")
+    first = index_layer(pages, tables, str(tmp_path)).count()
+    assert first == 4 and index_layer(pages, tables, str(tmp_path)).count() == 4
+    assert spark.read.parquet(str(tmp_path / "token-slots")).count() == 4
+    more = pages.unionAll(spark.createDataFrame([(2, 2, "Four.")], pages.schema))
+    assert index_layer(more, tables, str(tmp_path)).count() == 5
+    with pytest.raises(ValueError):
+        vectors.embedder("nobody")
