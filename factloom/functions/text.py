@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: a mass before CO.
 MASS_CO = r"(?<![A-Za-z])((?:M[tT]|[kKgG][tT]|[tT])?CO)"
 WORD_SPLIT = r"(?U)\s+"
 

@@ -363,6 +363,38 @@ scored as (select extractor, kpi, tp, fp, fn, tn, round(p, 9) as precision, roun
 """
 )
 
+# The mass before CO, with what must not be a letter before it, and white space, as RE2 has them.
+_MASS = "(^|[^A-Za-z])((?:M[tT]|[kKgG][tT]|[tT])?CO)"
+_GAP = "[\\s\\x{a0}\\x{202f}\\x{2009}\\x{3000}]"
+
+
+def _co2(cell: str) -> str:
+    """SQL for `cell` with CO2e brought together."""
+    found = cell
+    for pattern, new, how in (
+        (f"CO{_GAP}+2{_GAP}+eq", "CO2eq", "gi"),
+        (f"CO{_GAP}+2{_GAP}+e", "CO2e", "gi"),
+        (f"COe{_GAP}*q?{_GAP}*2", "CO2e", "gi"),
+        (f"{_MASS}([^\\n]*)\\n{_GAP}*2eq", "\\1\\22eq\\3", "gi"),
+        (f"{_MASS}([^\\n]*)\\n{_GAP}*2e", "\\1\\22e\\3", "gi"),
+        (f"{_MASS}e([^\\n]*)\\n{_GAP}*2({_GAP}*\\n)", "\\1\\22e\\3\\4", "g"),
+    ):
+        found = f"regexp_replace({found}, '{pattern}', '{new}', '{how}')"
+    return found
+
+
+_ROBUST = f"""
+a(alias, canonical) as (values {ALIASES}),
+s as (select unit from extractions union all select unnest(headers) from report_tables),
+u as (select unit, count(*) as n from s where unit is not null group by unit),
+b as (select *, lower(trim(regexp_replace(trim({_co2('unit')}, ' ()[]{{}}*' || chr(9) || chr(10)), '\\.{_GAP}*(?:19|20)\\d{{2}}{_GAP}*$', ''), ' ' || chr(9) || chr(10) || chr(160))) as b from u),
+t as (select *, regexp_replace(b, '{_GAP}+', '', 'g') as t from b),
+w as (select *, regexp_extract(b, '^(thousand|million|billion)[ \\t().,]*([^ \\t().,].*?)[ \\t().,]*$', ['w', 'r']) as p, regexp_extract(t, '^(thousand|million|billion)[ \\t().,]*([^ \\t().,].*?)[ \\t().,]*$', ['w', 'r']) as q from t),
+k as (select unit, n, p.w as w1, q.w as w2, rtrim(b, '.,;:') as k1, rtrim(t, '.,;:') as k2, rtrim(p.r, '.,;:') as k3, rtrim(regexp_replace(p.r, '{_GAP}+', '', 'g'), '.,;:') as k4, rtrim(q.r, '.,;:') as k5 from w),
+f as (
+  select unit, n, coalesce(a1.canonical, a2.canonical) as plain, case when w1 != '' then coalesce(a3.canonical, a4.canonical) end as worded, case when w2 != '' then a5.canonical end as tight, w1, w2
+  from k left join a a1 on a1.alias = k1 left join a a2 on a2.alias = k2 left join a a3 on a3.alias = k3 left join a a4 on a4.alias = k4 left join a a5 on a5.alias = k5)
+"""
 # The indicators and extractors of the test tables, for the SQL.
 ALL_KPIS = "hazardous_waste nox_emissions purchased_electricity renewable_energy restored_land scope_1_emissions scope_2_emissions scope_3_emissions total_energy_consumption waste_generated water_consumption water_withdrawal".split()
 ALL_EXTRACTORS = "baseline llm llm_large manual_review regex_legacy".split()
@@ -383,6 +415,14 @@ select table_id, row_idx, col_idx, try_cast(n as double) as value from v where n
 with a(alias, canonical) as (values {ALIASES}),
 u as (select unit, count(*) as n from extractions where unit is not null group by unit)
 select unit, n, canonical from u left join a on a.alias = lower(regexp_replace(trim(unit), '[.,;:]+$', ''))""",
+    "unit_robust": f"""
+with {_ROBUST}
+select unit, n, coalesce(plain, worded, tight) as canonical,
+  case when plain is not null then 1.0 when worded is not null or tight is not null then case case when worded is not null then w1 else w2 end when 'thousand' then 1e3 when 'million' then 1e6 else 1e9 end end::double as multiplier from f""",
+    "co2_normalised": f"""
+with c as (select unnest(list_concat(coalesce(headers, []), list_transform(coalesce(rows, []), lambda r: r[1]))) as cell from report_tables),
+n as (select cell, {_co2('cell')} as normalised from c)
+select cell, normalised, count(*) as n from n where normalised != cell group by all""",
     "unit_convert": f"""
 with a(alias, canonical) as (values {ALIASES}), f(a, b, factor) as (values {FACTORS}),
 e as (select extraction_id, value, canonical_unit, lower(regexp_replace(trim(unit), '[.,;:]+$', '')) as u from extractions join kpis using (kpi)),

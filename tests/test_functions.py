@@ -91,3 +91,15 @@ def test_vectors(spark):
 def test_read_unit():
     cases = {"kWh": ("kWh", 1.0), "(thousand MWh)": ("MWh", 1e3), "Unit: million cubic metres": ("m3", 1e6), "in hectares": ("ha", 1.0), "MGal (US).2012": ("million US gallon", 1.0), "tons (metric)": ("t", 1.0), "'000 t": ("t", 1e3), ".000 m 3": ("m3", 1e3), "US short tons CO2e": ("short ton CO2e", 1.0), "kt CO₂-eq": ("tCO2e", 1e3), "milliontCO2e": ("tCO2e", 1e6), "%": None, "tCO2e/MWh": None, "": None, None: None}
     assert {k: measures.read_unit(k) for k in cases} == cases
+
+
+def test_co2_readers_agree(spark):
+    import random
+
+    from factloom.functions import readings, text
+
+    rng = random.Random(8)
+    parts = ["CO", "co", "2", "eq", "e", "q", " ", "\n", "t", "Mt", "kt", "26.2", "COe", "emissions", "| ", "Scope ", "\n2\n", "2eq", "\t"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(3_000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.normalize_co2(F.col("t")).alias("n")).collect()
+    assert [(r["t"], r["n"]) for r in rows if r["n"] != readings.joined_co2(r["t"])] == []
