@@ -141,8 +141,11 @@ def line_candidates(pages: DataFrame, ranking: DataFrame, kpis: DataFrame) -> Da
     each = lines.join(sized, ["report_id", "page_num"]).join(small(known), "kpi")
     least = registry.LEAST_KEYWORD_SHARE
     kept = F.filter("_s", lambda x: (text.keyword_share(x["low"], F.col("words")) >= least) & ~text.holds_any(x["low"], F.col("negative_tokens")))
-    gated = each.withColumn("g", F.explode(kept)).drop("_s").withColumn("line", F.col("g.line")).withColumn("line_idx", F.col("g.line_idx"))
-    read = gated.withColumn("kw", text.keyword_share(F.lower("line"), F.col("words"))).withColumn("p", parse_value(F.col("line"), F.col("accepted"))).where("p.unit is not null")
+    gated = each.select(*REPORT, "page_num", "kpi", "rank", "n_pages", "canonical_unit", "lo", "hi", "words", "accepted", F.explode(kept).alias("g")).select("*", F.col("g.line").alias("line"), F.col("g.line_idx").alias("line_idx"), F.col("g.low").alias("low"))
+    # A value needs a digit and some unit's letters; the reader sees only such lines, and none the rest of its page.
+    read = gated.where(F.col("line").rlike(r"\d")).withColumn("kw", text.keyword_share(F.col("low"), F.col("words"))).withColumn("p", parse_value(F.col("line"), F.col("accepted"))).where("p.unit is not null")
+    read = read.select(*REPORT, "page_num", "kpi", "rank", "n_pages", "canonical_unit", "lo", "hi", "line", "line_idx", "kw", "p")
+    read = read.join(lines.select("report_id", "page_num", "lines"), ["report_id", "page_num"])
     raw = F.coalesce(year_column_value(F.col("lines"), F.col("line_idx"), F.col("line"), F.col("p.value")), F.col("p.value"))
     valued = read.withColumn("value", to_canonical_value(raw, F.col("p.unit"), F.col("canonical_unit"))).where("value is not null")
     total = F.when(F.regexp_replace(F.lower("line"), r"^\|*\s*", "").startswith("total "), registry.TOTAL_BONUS).otherwise(0.0)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom import registry
@@ -22,8 +21,9 @@ FACTORS = ", ".join(f"('{a}', '{b}', {f!r}::double)" for (a, b), f in registry.C
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages, one row each where a page was delivered twice: that of the least page_id."""
-    first = W.partitionBy("report_id", "page_num").orderBy("page_id")
-    return table(spark, sf_dir, "report_pages").withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+    pages = table(spark, sf_dir, "report_pages")
+    first = pages.groupBy("report_id", "page_num").agg(F.min("page_id").alias("page_id"))
+    return pages.join(first.select("page_id"), "page_id", "left_semi")
 
 
 def _kpi_words(spark: SparkSession, sf_dir: str) -> DataFrame:
