@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -395,6 +396,37 @@ f as (
   select unit, n, coalesce(a1.canonical, a2.canonical) as plain, case when w1 != '' then coalesce(a3.canonical, a4.canonical) end as worded, case when w2 != '' then a5.canonical end as tight, w1, w2
   from k left join a a1 on a1.alias = k1 left join a a2 on a2.alias = k2 left join a a3 on a3.alias = k3 left join a a4 on a4.alias = k4 left join a a5 on a5.alias = k5)
 """
+# A number in text and the spellings of units, longest first, as RE2 has them.
+_IN_TEXT = numbers.NUMBER_IN_TEXT.replace("'", "''")
+_UNITS = "|".join(re.escape(u).replace("\\ ", " ") for u in sorted(registry.UNIT_ALIASES, key=lambda u: (-len(u), u)))
+_SHAPES = (
+    (f"({_IN_TEXT}){_GAP}*(?:(thousand|million|billion){_GAP}*)?({_UNITS})(?:[^A-Za-z0-9]|$)", 1, 2, 3),
+    (f"(thousand|million|billion){_GAP}+({_UNITS})[^A-Za-z0-9]{{1,8}}({_IN_TEXT})", 3, 1, 2),
+    (f"({_UNITS})[^A-Za-z0-9]{{1,8}}({_IN_TEXT})", 2, 0, 1),
+)
+
+
+def _matches(i: int) -> str:
+    """SQL for (extraction_id, shape, number of the match, number, word, unit) of all matches of a shape."""
+    pattern, n, w, u = _SHAPES[i]
+    group = lambda k: f"regexp_extract_all(t, '{pattern}', {k}, 'i')"
+    word = f"unnest({group(w)})" if w else "''"
+    return f"select extraction_id, kpi, {i} as shape, generate_subscripts({group(n)}, 1) as nth, unnest({group(n)}) as n, lower({word}) as w, unnest({group(u)}) as u from s"
+
+
+_PARSED = f"""
+a(alias, canonical) as (values {ALIASES}),
+k as (select kpi, list_distinct(list(canonical)) as accepted from (select kpi, unnest(unit_family) as unit from kpis) f join a on a.alias = lower(regexp_replace(trim(f.unit), '[.,;:]+$', '')) group by kpi),
+s as (
+  select extraction_id, kpi, regexp_replace(regexp_replace(regexp_replace(source_snippet, '\\b(thousand|million|billion)m{_GAP}*3\\b', '\\1 m3', 'gi'), '\\.000{_GAP}*m{_GAP}*3\\b', 'thousand m3', 'gi'), '\\bm{_GAP}+3\\b', 'm3', 'g') as t
+  from extractions where source_snippet is not null),
+m as ({_matches(0)} union all {_matches(1)} union all {_matches(2)}),
+v as (
+  select m.*, a.canonical, case when regexp_full_match(n, '-?\\d{{1,3}}(,\\d{{3}})+(\\.\\d+)?') then replace(n, ',', '') when regexp_full_match(n, '-?\\d{{1,3}}( \\d{{3}})+(\\.\\d+)?') then replace(n, ' ', '')
+    when regexp_full_match(n, '-?\\d+,\\d{{1,2}}') then replace(n, ',', '.') when regexp_full_match(n, '-?\\d+(\\.\\d+)?') then n end as plain
+  from m join k using (kpi) join a on a.alias = lower(regexp_replace(trim(u), '[.,;:]+$', '')) and list_contains(k.accepted, a.canonical)),
+f as (select * from v where plain is not null qualify row_number() over (partition by extraction_id order by shape, nth) = 1)
+"""
 # The indicators and extractors of the test tables, for the SQL.
 ALL_KPIS = "hazardous_waste nox_emissions purchased_electricity renewable_energy restored_land scope_1_emissions scope_2_emissions scope_3_emissions total_energy_consumption waste_generated water_consumption water_withdrawal".split()
 ALL_EXTRACTORS = "baseline llm llm_large manual_review regex_legacy".split()
@@ -419,6 +451,9 @@ select unit, n, canonical from u left join a on a.alias = lower(regexp_replace(t
 with {_ROBUST}
 select unit, n, coalesce(plain, worded, tight) as canonical,
   case when plain is not null then 1.0 when worded is not null or tight is not null then case case when worded is not null then w1 else w2 end when 'thousand' then 1e3 when 'million' then 1e6 else 1e9 end end::double as multiplier from f""",
+    "parse_value_snippets": f"""
+with {_PARSED}
+select extraction_id, plain::double * case w when 'thousand' then 1e3 when 'million' then 1e6 when 'billion' then 1e9 else 1 end as value, canonical as unit from f""",
     "co2_normalised": f"""
 with c as (select unnest(list_concat(coalesce(headers, []), list_transform(coalesce(rows, []), lambda r: r[1]))) as cell from report_tables),
 n as (select cell, {_co2('cell')} as normalised from c)
