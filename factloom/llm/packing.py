@@ -117,7 +117,8 @@ def pack(sized: DataFrame, id_col: str, capacity: int) -> DataFrame:
     more than `capacity` tokens is cut into full pieces and a rest, any other stays whole;
     one without tokens takes no room but gets a container. Equal keys, as of repeated
     texts, are parted by the hash of the id, so no task gets a whole group of copies.
-    Container ids are unique over all tasks and the same in a repeated run.
+    Container ids are unique over all tasks. The bounds between tasks come from a sample
+    that Spark draws, so with several tasks a repeated run may part them elsewhere.
     """
     if capacity < 1:
         raise ValueError("a container must hold at least one token")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.bitset import BitSet, bit_set
-from factloom.session import reliable_checkpoint, written
+from factloom.session import written
 
 STATES = ("title", "header", "number", "heading", "figures", "body", "break")
 KINDS = ("name", "name_no", "number_form", "sequence", "integer", "figures", "mark", "short", "text", "gap", "open_gap")
@@ -525,7 +525,7 @@ def learn(pages: DataFrame, texts: DataFrame, offsets: DataFrame) -> LineModel:
     """
     titles = learn_titles(pages)
     prior = prior_model(titles)
-    chosen = texts.where("instr(text, '\n') > 0").select("src", "row_id").distinct().orderBy(F.xxhash64("src", "row_id"), "src", "row_id").limit(SAMPLE_TEXTS)
+    chosen = texts.where("instr(text, '\n') > 0").select("src", "row_id").orderBy(F.xxhash64("src", "row_id"), "src", "row_id").limit(SAMPLE_TEXTS).distinct()
     sample = numbered(texts.join(F.broadcast(chosen), ["src", "row_id"], "left_semi"), offsets)
     shared = texts.sparkSession.sparkContext.broadcast(titles)
 
@@ -577,7 +577,7 @@ class Findings:
 
 def examine(pages: DataFrame, snippets: DataFrame) -> Findings:
     """Learns from all pages and snippets and gathers the evidence in them."""
-    texts, offsets = texts_of(pages, snippets), reliable_checkpoint(page_offsets(pages))
+    texts, offsets = texts_of(pages, snippets), written(page_offsets(pages))
     model = learn(pages, texts, offsets)
     words = written(vocabulary(texts))
     wrong = written(misreadings(words))
