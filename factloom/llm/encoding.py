@@ -51,7 +51,7 @@ SUBRUN = re.compile("[\u0900-\u0e7f\u2e80-\ud7ff\uf900-\ufaff\ufe30-\uffef]+|[^\
 TRIGRAMS, BIGRAMS, UNIGRAMS = 1 << 20, 1 << 18, 1 << 16
 SLOTS = TRIGRAMS + BIGRAMS + UNIGRAMS
 FOLDS, FALSE_SHARE = 16, 1_000
-WHOLE_SHARE = 0.8
+WHOLE_SHARE, WHOLE_RUNS, WHOLE_MARGINS = 0.8, 4, 3
 LEAST_MARGIN, MOST_MARGIN = 4.0, 13.0
 
 
@@ -416,31 +416,41 @@ class Restorer:
         self.hits |= {r: found for r, ss in parts.items() if (found := [(s, by_part[s]) for s in ss if s in by_part])}
         return own
 
+    def _gains(self, runs: list[str]) -> dict[str, dict[str, float]]:
+        """By chain, the gain of every different run, or part of one, that it reads likeliest."""
+        gains: dict[str, dict[str, float]] = defaultdict(dict)
+        for r in self.hits.keys() & runs:
+            for s, (_, gain, chain) in self.hits[r]:
+                gains[chain][s] = gain
+        return gains
+
+    def _agreed(self, chain: str, runs: list[str]) -> bool:
+        """Whether four fifths of the different runs that a one-byte chain changes are likeliest read by it."""
+        read = {r: t for r in set(runs) if len(r) > 2 and (t := reread(r, chain)) is not None and t != r and not BROKEN.search(t)}
+        return sum(any(s == r and hit[0] == t for s, hit in self.hits.get(r, ())) for r, t in read.items()) >= WHOLE_SHARE * len(read)
+
+    def _beaten(self, chain: str, own: dict[str, float], runs: list[str]) -> float:
+        """The greatest margin by which `chain`, with its gains, is accepted for a text."""
+        best = sorted(own.values(), reverse=True)
+        if chain.endswith(">utf-8"):
+            return best[0]
+        most = max([g for s, g in own.items() if len(NON_ASCII.findall(s)) >= 8] + best[1:2], default=0.0)
+        together = sum(best) / WHOLE_MARGINS
+        return together if together > most and len(best) >= WHOLE_RUNS and self._agreed(chain, runs) else most
+
     def accepted(self, runs: list[str]) -> set[str]:
         """Chains by which `runs` of one text are read beyond the margin.
 
         A one-byte chain changes every accented letter it meets, so it must win in two
-        runs or in one with eight such letters; UTF-8 checks itself and needs one.
+        runs or in one with eight such letters; or, by less each, in at least four that are
+        four fifths of what it changes and win by three margins together. UTF-8 checks
+        itself and needs one run.
         """
-        by_chain: dict[str, set[str]] = defaultdict(set)
-        for r in self.hits.keys() & runs:
-            for s, hit in self.hits[r]:
-                if hit[1] >= self.model.margin:
-                    by_chain[hit[2]].add(s)
-        return {c for c, own in by_chain.items() if c.endswith(">utf-8") or len(own) > 1 or any(len(NON_ASCII.findall(r)) >= 8 for r in own)}
+        return {chain for chain, own in self._gains(runs).items() if self._beaten(chain, own, runs) >= self.model.margin}
 
     def beaten_by(self, runs: list[str]) -> float:
         """The greatest margin by which a chain would still be accepted for `runs` of one text; 0 if there is none."""
-        gains: dict[str, dict[str, float]] = defaultdict(dict)
-        for r in self.hits.keys() & runs:
-            for s, (_, gain, chain) in self.hits[r]:
-                gains[chain][s] = gain
-        most = 0.0
-        for chain, own in gains.items():
-            best = sorted(own.values(), reverse=True)
-            one = best[0] if chain.endswith(">utf-8") else max((g for s, g in own.items() if len(NON_ASCII.findall(s)) >= 8), default=0.0)
-            most = max(most, one, *best[1:2])
-        return most
+        return max((self._beaten(chain, own, runs) for chain, own in self._gains(runs).items()), default=0.0)
 
     def whole_chain(self, runs: list[str], chains: set[str]) -> str | None:
         """The one-byte chain by which most different `runs` are likeliest read, if those are four fifths of what it changes and it can read nine tenths of all.

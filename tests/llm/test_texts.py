@@ -83,6 +83,20 @@ def test_encoding_copies_of_a_misread_text(spark):
     assert all(restorer.restore(t) == (t, 0, 0) for t in CLEAN)
 
 
+def test_encoding_many_different_misread_texts(spark):
+    import random
+
+    rng = random.Random(6)
+    vocabulary = "основной причиной стало внедрение новых счётчиков проверка не выявила отклонений завод сократил потребление воды энергии выбросы отчёт учтены данные уровень показатель снизился".split()
+    sentence = lambda: " ".join(rng.choices(vocabulary, k=40))
+    sound, meant = [sentence() for _ in range(160)], [sentence() for _ in range(40)]
+    garbled = [t.encode("cp1251").decode("cp1252") for t in meant]
+    restorer = encoding.Restorer(encoding.train(spark.createDataFrame([(t,) for t in sound + garbled], "text string")))
+    read = [restorer.restore(t, runs)[0] for t, runs in zip(garbled, restorer.learn(garbled), strict=True)]
+    assert sum(a == b for a, b in zip(read, meant, strict=True)) >= 38
+    assert all(restorer.restore(t, runs)[0] == t for t, runs in zip(sound, restorer.learn(sound), strict=True))
+
+
 def test_encoding_margin_depends_on_texts_alone(spark):
     assert encoding.validated_margin({0: 900}) == encoding.LEAST_MARGIN
     assert encoding.validated_margin({0: 900, 67: 1}) == 6.8
