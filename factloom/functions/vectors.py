@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,26 +37,6 @@ def embedding(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.when(F.array_contains(own, i), value).otherwise(0.0).cast("float"))
 
 
-def similarities(queries: np.ndarray):
-    """A function of a vector column: its cosines with all `queries`, a matrix of bounded size sent to every task."""
-    norms = np.linalg.norm(queries, axis=1, keepdims=True)
-    unit = np.divide(queries, norms, out=np.zeros_like(queries, dtype=float), where=norms > 0)
-
-    @F.pandas_udf("array<double>")
-    def run(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        held = vectors.notna().to_numpy()
-        rows = np.zeros((len(vectors), unit.shape[1]))
-        if held.any():
-            rows[held] = np.stack(vectors[held].to_list())
-        length = np.linalg.norm(rows, axis=1, keepdims=True)
-        rows = np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
-        return pd.Series(list(rows @ unit.T))
-
-    return run
-
-
 Embedder = Callable[[Column], Column]
 EMBEDDERS: dict[str, Embedder] = {"token-slots": embedding}
 

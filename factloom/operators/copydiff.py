@@ -158,15 +158,16 @@ def diff_copies(left: DataFrame, right: DataFrame, key: Sequence[str], fields: S
     exactly, NULL equals only NULL; a number that can't be read is compared as NaN with
     its own text kept. Of a key held several times on a side the least and the greatest
     value and the presence of NULL are compared, so a row repeated unchanged is no
-    difference. Rows with a NULL in the key can't be matched and are left out. Other
-    columns are ignored. Empty copies give only missing rows, or none.
+    difference. Rows with a NULL in the key can't be matched: their keys are reported as
+    `null_key_in_left` or `null_key_in_right`, with how often each stands there in the
+    value's place. Other columns are ignored. Empty copies give only missing rows, or none.
     """
     names = [f.name for f in fields]
     sides = [_element_columns(df.select(*key, *names), key, fields) for df in (left, right)]
     signed = sides[0].select("_k", "_h", F.lit(1).cast("long").alias("_s")).unionAll(sides[1].select("_k", "_h", F.lit(-1).cast("long").alias("_s")))
-    found, buckets = differing_keys(signed)
-    revealed = found.where("k is not null").select(F.col("k").alias("_k")).distinct()
-    unpeeled = found.where("k is null").select(F.col("bucket").alias("_bucket")).distinct()
+    peeled, buckets = differing_keys(signed)
+    revealed = peeled.where("k is not null").select(F.col("k").alias("_k")).distinct()
+    unpeeled = peeled.where("k is null").select(F.col("bucket").alias("_bucket")).distinct()
 
     def fetched(df: DataFrame, side: int) -> DataFrame:
         typed = df.withColumns({f.name: F.struct(_number(df, f.name).alias("v"), F.col(f.name).cast("string").alias("t")) if f.numeric else F.struct(F.col(f.name).cast("string").alias("v")) for f in fields})
@@ -196,7 +197,12 @@ def diff_copies(left: DataFrame, right: DataFrame, key: Sequence[str], fields: S
             a, b = F.col(f"{f.name}_{end}0"), F.col(f"{f.name}_{end}1")
             same &= _numbers_equal(a, b, rel_tol) if f.numeric else a.eqNullSafe(b)
         cases.append(F.when((F.col("_n0") > 0) & (F.col("_n1") > 0) & ~same, _case(f.name, text(f, 0), text(f, 1))))
-    return both.select(*key, F.explode(F.filter(F.array(*cases), lambda c: c.isNotNull())).alias("c")).select(*key, "c.field", "c.left_value", "c.right_value")
+    found = both.select(*key, F.explode(F.filter(F.array(*cases), lambda c: c.isNotNull())).alias("c")).select(*key, "c.field", "c.left_value", "c.right_value")
+    for side, df in (("left", left), ("right", right)):
+        unmatched = df.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])).groupBy(*key).agg(F.count(F.lit(1)).cast("string").alias("n"))
+        nothing = F.lit(None).cast("string")
+        found = found.unionAll(unmatched.select(*key, F.lit(f"null_key_in_{side}"), F.col("n") if side == "left" else nothing, F.col("n") if side == "right" else nothing))
+    return found
 
 
 def _number(df: DataFrame, name: str) -> Column:

@@ -20,8 +20,8 @@ def p1_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(extraction_id, field) of every difference."""
-    return p1_differences(spark, sf_dir).select("extraction_id", "field")
+    """(extraction_id, field) of every difference of rows that have an id."""
+    return p1_differences(spark, sf_dir).where("field not like 'null_key%'").select("extraction_id", "field")
 
 
 def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

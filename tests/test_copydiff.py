@@ -16,7 +16,7 @@ def found(spark, left, right, schema=("id long, value double, tag string", "id l
 def test_cases(spark):
     left = [(1, 1.0, "a"), (2, 2.0, "a"), (3, None, "a"), (4, 4.0, None), (5, 5.0, "x"), (7, 1e9, "a"), (8, 8.0, "a"), (None, 1.0, "a")]
     right = [(1, "1.0E0", "a"), (1, "1.0", "a"), (2, "2.1", "b"), (3, None, ""), (4, "4", None), (6, "6", "a"), (7, "1000000000.1", "a"), (8, "eight", "a"), (8, "8", "a")]
-    assert found(spark, left, right) == {(2, "value"), (2, "tag"), (3, "tag"), (5, "missing_in_right"), (6, "missing_in_left"), (8, "value")}
+    assert found(spark, left, right) == {(2, "value"), (2, "tag"), (3, "tag"), (5, "missing_in_right"), (6, "missing_in_left"), (8, "value"), (None, "null_key_in_left")}
 
 
 def test_empty_and_extra_columns(spark):

@@ -6,7 +6,7 @@ from factloom.operators import rules
 
 TABLES = "report_id long, company string, report_year int, table_id long, table_idx int, page_num int, headers array<string>, rows array<array<string>>"
 PAGES = "report_id long, company string, report_year int, page_num int, page_pos int, text string"
-# One layout each: report year, page, headers, rows, indicator, value or None.
+# Fixed values, one layout each: report year, page, headers, rows, indicator, value or None.
 LAYOUTS = [
     (2024, 5, ["KPI", "2023", "2024", "Unit"], [["Scope 1 direct greenhouse gas emissions", "48,000", "45,678", "tCO2e"], ["Scope 2 emissions", "12,000", "10,500", "tCO2e"]], "scope_1_emissions", 45678.0),
     (2024, 2, ["KPI", "2024", "Currency"], [["Scope 1 direct greenhouse gas emissions", "45,678", "USD"]], "scope_1_emissions", None),
