@@ -44,5 +44,17 @@ union all select distinct extraction_id, 'run_tag' from j where not no_a and not
 union all select distinct extraction_id, 'extractor' from j where not no_a and not no_b and de
 """
 
+# Numbers of 10,000,000 and more print with an exponent in the engine.
+_AS_TEXT = """case when abs(v) >= 1e7 then (case when v < 0 then '-' else '' end) || left(d, 1) || '.' || (case when length(d) > 1 then substr(d, 2) else '0' end) || 'E' || (length(i) - 1)::varchar else s end"""
+_VALUES_SQL = f"""
+with n as (select extraction_id, value as v, value::varchar as s, run_tag, extractor from extractions),
+p as (select *, ltrim(split_part(s, '.', 1), '-') as i, rtrim(ltrim(split_part(s, '.', 1), '-') || split_part(s, '.', 2), '0') as d from n),
+t as (select extraction_id, {_AS_TEXT} as v, run_tag, extractor from p),
+c as (select distinct extraction_id, value as t, run_tag, extractor from extractions_copy),
+f as ({_DIFF_SQL})
+select f.extraction_id, field, case field when 'value' then t.v when 'run_tag' then t.run_tag when 'extractor' then t.extractor end as original_value,
+  case field when 'value' then c.t when 'run_tag' then c.run_tag when 'extractor' then c.extractor end as copy_value
+from f left join t on t.extraction_id = f.extraction_id left join c on c.extraction_id = f.extraction_id"""
+
 QUERIES = {"p1_found": p1_found, "p1_differences": p1_differences, "p1_counts": p1_counts}
-ORACLE = {"p1_found": _DIFF_SQL, "p1_counts": f"select field, count(*) as n from ({_DIFF_SQL}) group by field"}
+ORACLE = {"p1_found": _DIFF_SQL, "p1_differences": _VALUES_SQL, "p1_counts": f"select field, count(*) as n from ({_DIFF_SQL}) group by field"}
