@@ -10,6 +10,14 @@ select 'report_tables', table_id from report_tables
 where list_sum(list_transform(flatten(rows), lambda c: coalesce(length(c), 0))) > (select max_chars from size_limits where item = 'table_rows')
 """
 
+_P5_COVERAGE = """
+with t as (
+  select 'report_pages' as src, page_id as row_id, length(text) as chars from report_pages where text is not null
+  union all
+  select 'report_tables', table_id, length(array_to_string(list_transform(rows, lambda r: array_to_string(list_transform(coalesce(r, []), lambda c: coalesce(c, '')), chr(31))), chr(10))) from report_tables where rows is not null)
+select src, row_id, chars, chars as reach, true as within_limit from t
+"""
+
 _P6_ROWS = """
 with r as (
   select e.*, coalesce(len(flags), 0) as nf, value is not null as has, t.trust,
@@ -60,4 +68,4 @@ from v join m on m.run_tag = v.run_tag and m.report_year = v.report_year and m.k
   left join d on d.run_tag = v.run_tag and d.report_year = v.report_year and d.kpi = v.kpi and d.g = v.g"""
 )
 
-ORACLE = {"p5_found": _P5, "p6_found": _P6_FOUND, "p6_survivors": _P6_SURVIVORS}
+ORACLE = {"p5_found": _P5, "p5_coverage": _P5_COVERAGE, "p6_found": _P6_FOUND, "p6_survivors": _P6_SURVIVORS}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import encoding, mixing, packing, pages, sentences, splitting, survivors
 from factloom.llm.tokens import with_sizes
-from factloom.session import reliable_checkpoint, table
+from factloom.session import reliable_checkpoint, small, table
 
 
 def _limit(spark: SparkSession, sf_dir: str, item: str) -> tuple[int, int]:
@@ -57,6 +57,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("n_pieces > 1 and piece_no = 0").select("src", "row_id")
 
 
+def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page and table how far its pieces reach without a gap, and whether each piece keeps the limit or is the whole."""
+    limits = table(spark, sf_dir, "size_limits").select(F.when(F.col("item") == "page_text", "report_pages").otherwise("report_tables").alias("src"), "max_chars", "overlap_chars")
+    each = p5_pieces(spark, sf_dir).join(small(limits), "src")
+    added = F.col("chars") - F.when(F.col("piece_no") > 0, F.col("overlap_chars")).otherwise(0)
+    found = each.groupBy("src", "row_id").agg(F.sum(added).alias("chars"), F.max(F.col("start") + F.col("chars")).alias("reach"), F.bool_and((F.col("chars") <= F.col("max_chars")) | (F.col("n_pieces") == 1)).alias("within_limit"))
+    return found.select("src", "row_id", F.col("chars").cast("long").alias("chars"), F.col("reach").cast("long").alias("reach"), "within_limit")
+
+
 def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per fact of a run, built field by field; value, unit and year stay together."""
     records = table(spark, sf_dir, "extractions").withColumn("quantity", F.when(F.col("value").isNotNull(), F.struct("value", "unit", "reporting_year")))
@@ -135,6 +144,7 @@ QUERIES = {
     "p4_units": p4_units,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_coverage": p5_coverage,
     "p6_found": p6_found,
     "p6_survivors": p6_survivors,
     "p7_found": p7_found,
