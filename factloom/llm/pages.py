@@ -51,7 +51,7 @@ FIRST_NUMBER = re.compile(r"\s*(\d{1,4}|[ivxlc]{1,6})\s{2,}")
 SEPARATED = re.compile(r"\s[|·•–—-]\s|\S {2,}\S|\t")
 BREAK = re.compile(r"([^\W\d_][\w'’-]*|[\w-]*[^\W\d_])([-‐‑¬\xad])[ \t]*\n[ \t]*([^\W\d_][\w'’-]*)")
 MARK_AT = re.compile(r"[-‐‑¬\xad][ \t]*\n")
-MARKS = re.compile(r"(?<=\w)[-‐‑¬\xad][ \t]*\n[ \t]*(?=\w)")
+MARKS = re.compile(r"[-‐‑¬\xad](?<=\w.)[ \t]*\n[ \t]*(?=\w)")
 WORD = re.compile(r"[^\s|,;:!?…()\[\]{}\"“”„«»‘’.·/=+<>—–]+")
 ASCII_GAPS = {ord(c): " " for c in "|,;:!?()[]{}\"./=+<>"}
 UNSPACED = re.compile("[⺀-〿぀-ヿ㐀-鿿豈-﫿฀-๿]")
@@ -65,7 +65,12 @@ def skeleton(text: str) -> str:
     """A form in which a text and its usual misreadings agree: lower case, look-alikes merged, without blanks and marks."""
     plain = text.isascii()
     t = text.lower() if plain else re.sub(r"[\u0300-\u036f]", "", unicodedata.normalize("NFKD", text.lower()))
-    t = t.translate(LOOKALIKE)
+    if plain:
+        t = t.translate(LOOKALIKE)
+    else:
+        # No look-alike is turned into another, so one after the other gives the same, and faster.
+        for c, alike in ALIKE:
+            t = t.replace(c, alike)
     for pair, single in (("rn", "m"), ("vv", "w"), ("ii", "u"), ("li", "h"), ("cl", "d")):
         t = t.replace(pair, single)
     return t.translate(NO_WORD) if plain else "".join(filter(str.isalnum, t))
@@ -75,6 +80,8 @@ NO_WORD = dict.fromkeys(c for c in range(128) if not chr(c).isalnum())
 # Characters that stand for one another in scans.
 LOOKALIKE = str.maketrans({"0": "o", "1": "l", "5": "s", "6": "b", "3": "z", "$": "s", "@": "a", "†": "t", "ſ": "f", "q": "g", "c": "e", "а": "a", "о": "o", "е": "e", "n": "n", "и": "n", "з": "z", "б": "b", "旳": "的", "午": "年", "申": "电", "置": "量", "氷": "水"})
 
+ALIKE = tuple((chr(c), alike) for c, alike in LOOKALIKE.items() if chr(c) != alike)
+
 
 @dataclass(frozen=True)
 class LineModel:
