@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: a mass before CO.
 MASS_CO = r"(?<![A-Za-z])((?:M[tT]|[kKgG][tT]|[tT])?CO)"
+BM25_WORD = "[a-z0-9]+"
 WORD_SPLIT = r"(?U)\s+"
 
 
@@ -29,7 +30,7 @@ def split_sentences(text: Column) -> Column:
 
 def bm25_tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({BM25_WORD})"), F.lit(1))
 
 
 def tokens(text: Column) -> Column:
